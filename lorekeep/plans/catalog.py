@@ -1,0 +1,29 @@
+"""Queries of the document-memory operators over the shared tables, each with its SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def content_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.upper(F.sha2("text", 256)).alias("sha256"))
+
+
+_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "content_sha": (content_sha, "SELECT doc_id, upper(sha256(text)) AS sha256 FROM documents"),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q[0] for name, q in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: q[1] for name, q in _QUERIES.items() if q[1]}
