@@ -7,7 +7,7 @@ import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +105,37 @@ def words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, offsets
 
 
+def grouped(df: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` over the rows of each key, which the caller keeps bounded; many small groups share a task and a batch."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from run(pa.Table.from_batches(parts)).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            change = np.zeros(batch.num_rows, bool)
+            for c in cols:
+                change[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                key = tuple(c[a] for c in cols)
+                if held and key != last:
+                    yield from flush(held)
+                    held = []
+                last = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from flush(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
+
+
 def has_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

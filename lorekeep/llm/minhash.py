@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, has_columns, mix, only, release, seed, slices, words
+from .common import durable, grouped, has_columns, mix, only, release, seed, slices, words
 from .components import components
 
 MISS = 2e-6
@@ -163,7 +163,7 @@ def _blocks(percent: int):
     def run(group: pa.Table) -> pa.Table:
         ids, rest = group.column("rep").to_numpy(), group.column("rest").to_numpy()
         chunk, p, q = group.column("chunk").to_numpy(), group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        sets = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in group.column("grams")]
+        sets = [x.values.to_numpy(zero_copy_only=False) for x in group.column("grams")]
         links = block_links(ids, sets, rest, chunk == p, chunk == q, percent)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     blocks = blocks.select("key", "rep", "rest", "chunk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     blocks = blocks.withColumns({"p": F.least("chunk", "other"), "q": F.greatest("chunk", "other")}).drop("other")
     blocks = blocks.join(sets.withColumnRenamed("id", "rep"), "rep")
-    more = blocks.groupBy("key", "p", "q").applyInArrow(_blocks(percent), "a long, b long")
+    more = grouped(blocks, ["key", "p", "q"], _blocks(percent), "a long, b long")
     found = components(links.select(F.col("rep").alias("a"), F.col("centre").alias("b")).unionAll(more))
     release(members, placed, sets, links)
     of = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("low"))

@@ -7,13 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, shards
+from . import chat, ivfpq, minhash, packing, polytope, secrets, shards, toxicity, unigram, webtext
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op2_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ivfpq.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+def op4_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -22,12 +39,26 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(chat.probe(spark))
+    return chat.digests(chat.format_rows(rows))
+
+
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_minhash, op6_packing, op10_jump_shards)}
+    return {f.__name__: f for f in (op1_cross_polytope, op2_line_blocks, op3_ivf_pq, op4_ownership, op5_minhash, op6_packing, op7_factorization, op8_unigram, op9_chat, op10_jump_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
