@@ -223,3 +223,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # An empty set's digest is never in classes: its row stands for itself.
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one with the smallest doc_id; same columns.
+
+    Of rows repeated whole, one stays. Blank texts and rows with a null doc_id stay.
+    """
+    result = durable(near_duplicates(docs, k, percent), "kept")
+    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    gone = result.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    twice = durable(result.where("kept and n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "twice")
+    left = only(named, gone, "_id", "left_anti")
+    if not twice.isEmpty():
+        left = only(left, twice, "_id", "left_anti").unionByName(only(left, twice, "_id").dropDuplicates(["_id", "text"]))
+    return left.select(*docs.columns)

@@ -39,7 +39,7 @@ class DoubleArray:
             for c in key:
                 at = at.setdefault(c, {})
             at[0] = n
-        size = 1 << 16
+        size = 1024 + 4 * sum(map(len, keys))
         base, check, value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         check[:2] = 0
         todo, start = [(1, root)], 2
@@ -106,6 +106,8 @@ class Unigram:
                 special = {i for i in range(n) if m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)}
                 raw = [m.get_score(i) for i in range(n)]
                 scores = [s if s <= NEVER else -float(np.log(2 - s)) for s in raw]
+                # The marker itself has no rank, as it is no merge: it ranks last.
+                scores[m.piece_to_id(MARK)] = min(s for s in scores if s > NEVER)
                 bytes_ = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
                 cls._made[path] = cls([m.id_to_piece(i) for i in range(n)], scores, bytes_ if all(m.is_byte(i) for i in bytes_) else None, special)
             return cls._made[path]
@@ -137,16 +139,13 @@ class Unigram:
         for i in range(width):
             rows = np.flatnonzero(size > i)
             state = np.ones(len(rows), np.int64)
-            lone = np.ones(len(rows), bool)  # no piece of one character here
             for j in range(i, min(width, i + self.longest)):
                 state = self.trie.step(state, code[rows, j])
                 alive = state > 0
                 if not alive.all():
                     if j == i:
-                        first_dead = rows[~alive]
-                        self._offer(best, came, piece, first_dead, i, i + 1, self.unknown, -1)
+                        self._offer(best, came, piece, rows[~alive], i, i + 1, self.unknown, -1)
                     rows, state = rows[alive], state[alive]
-                    lone = lone[alive]
                 if not len(rows):
                     break
                 v = self.trie.value[state]
