@@ -1,7 +1,8 @@
 """Nearest neighbours by an inverted file of coarse centroids with product-quantised residuals.
 
 Centroids and code books are fitted on the driver from a bounded sample (FIT_ROWS); every row is indexed. A query reads the lists nearest to it,
-until they hold PROBE of all rows and as many as it must return. Lists and the queries that read them are cut into chunks of bounded size that meet
+until they hold a share of all rows that is measured: the least that found RECALL of the sample's own nearest neighbours (clustered vectors need
+few lists, vectors without structure most of them), and as many rows as it must return. Lists and the queries that read them are cut into chunks of bounded size that meet
 in one task: asymmetric distance tables rank a chunk's codes, the best RERANK of it are measured exactly on
 the original vectors, and the ten nearest of each chunk go on to the query's final ranking.
 """
@@ -22,8 +23,8 @@ from .polytope import read_vectors
 #: Rows that centroids and code books are fitted on: those whose hashed ids are smallest.
 FIT_ROWS = 20_000
 MAX_LISTS = 4096
-#: Share of all rows in the lists that a query reads, and share of a chunk that is measured exactly.
-PROBE, RERANK = 0.6, 0.25
+#: Share of the sample's nearest neighbours that the lists read must hold, rows of the sample that ask for theirs, and share of a chunk that is measured exactly.
+RECALL, ASKING, RERANK = 0.97, 500, 0.25
 SUBSPACES, CODES = 16, 256
 #: Rows of a list, and queries, in one task's chunk.
 CHUNK, QUERIES = 4096, 1024
@@ -78,6 +79,24 @@ def build(sample: np.ndarray, lists: int) -> Index:
     return Index(centre, [kmeans(rest[:, a:b], CODES, 8, rng) for a, b in zip(cuts, cuts[1:])], cuts)
 
 
+def probe_share(index: Index, sample: np.ndarray, k: int) -> float:
+    """The share of all rows in the nearest lists that holds RECALL of the k nearest neighbours, over some of the sample's rows."""
+    at = nearest(sample, index.centre)
+    sizes = np.bincount(at, minlength=len(index.centre))
+    asking = np.random.default_rng(13).permutation(len(sample))[:ASKING]
+    needed = []
+    for i in asking:
+        d = distances(sample[i : i + 1], sample)[0]
+        d[i] = np.inf
+        near = np.argpartition(d, min(k, len(d) - 1))[:k]
+        order = np.argsort(distances(sample[i : i + 1], index.centre)[0], kind="stable")
+        before = np.empty(len(order))
+        before[order] = np.cumsum(sizes[order]) - sizes[order]
+        needed.append(before[at[near]] / len(sample))
+    # Lists are read as long as those before them hold less than the share.
+    return float(np.nextafter(np.quantile(np.concatenate(needed), RECALL, method="higher"), 2))
+
+
 def _valid(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     vectors, ok = read_vectors(column)
     rows = [i for i in np.flatnonzero(ok).tolist() if len(vectors[i]) == dim]
@@ -165,13 +184,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     widths = np.bincount([len(x) for x in sample])
     sample = np.stack([x for x in sample if len(x) == widths.argmax()])
     index = build(sample, min(MAX_LISTS, max(1, round(vectors.count() ** 0.5))))
+    share = probe_share(index, sample, k) if len(sample) > 1 else 1.0
     members = durable(vectors.mapInArrow(_assign(index), "vec_id long, list int, code binary, x array<double>"), "members")
     sizes = np.zeros(len(index.centre))
     for r in members.groupBy("list").count().collect():  # at most MAX_LISTS rows
         sizes[r["list"]] = r["count"]
     asking = queries.dropDuplicates(["vec_id"]).mapInArrow(_assign(index), "vec_id long, list int, code binary, x array<double>")
     # Its own row may stand in the lists, so one more than k.
-    probes = durable(asking.select("vec_id", "x").mapInArrow(_probe(index, sizes, max(PROBE * sizes.sum(), k + 1)), "vec_id long, x array<double>, list int"), "probes")
+    probes = durable(asking.select("vec_id", "x").mapInArrow(_probe(index, sizes, max(share * sizes.sum(), k + 1)), "vec_id long, x array<double>, list int"), "probes")
     asked = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
     parts = F.create_map(*(F.lit(v) for at in range(len(sizes)) for v in (at, max(1, -(-int(sizes[at]) // CHUNK)))))
     turns = F.create_map(*(F.lit(v) for at in range(len(sizes)) for v in (at, max(1, -(-asked.get(at, 0) // QUERIES)))))

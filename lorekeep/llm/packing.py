@@ -19,7 +19,7 @@ from .common import durable, has_columns, slices
 from .tokens import WordTokenizer
 
 #: Pieces that one task packs.
-GROUP = 50_000
+GROUP = 20_000
 
 
 class CapacityTree:

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,8 +62,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             base.append((m.start(), k, m.end()))
             candidate(m.start(), k, m.end(), m[0])
     base.sort()
+    starts, ends = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
     for m in LOOSE.finditer(text):
-        if looks_random(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base):
+        # The base spans that begin before its end: none may reach into it.
+        before = bisect_left(starts, m.end())
+        if (not before or ends[before - 1] <= m.start()) and looks_random(m[0]):
             candidate(m.start(), 3, m.end(), m[0])
     return base, cands
 

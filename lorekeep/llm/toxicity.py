@@ -1,6 +1,6 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A document is the set of its hashed terms (runs of letters in lower case). The machine adds a weight for each term and, for
+A document is the set of its hashed terms: runs of letters in lower case, and the first four, five and six letters of longer ones. The machine adds a weight for each term and, for
 each pair of its terms, the inner product of two learnt vectors, so that a pair can weigh more, or less, than its
 parts do. It is fitted on the driver from a bounded sample of labelled rows (FIT_ROWS), whose texts are turned into term sets on the executors;
 terms take part if a likelihood-ratio test on that sample finds them telling, so a term's weight never rests on a handful of
@@ -26,18 +26,39 @@ FIT_ROWS = 8_000
 #: Hashed terms: 2**SPACE.
 SPACE = 26
 TERMS, FACTORS, TELLING, STEPS = 4096, 8, 25.0, 300
+#: Share of its terms that a row shows in each step of the fit, so that no term leans on others that mostly come with it.
+SEEN = 0.5
+#: Decay of the pairs' vectors: ten times the words' own, so that a word that is telling alone gets its weight itself.
+PAIRS = 1e-4
+#: Lengths of the beginnings that are terms of longer words.
+BEGINNINGS = (4, 5, 6)
 
 
 def term_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hashed term) of each distinct term of each text."""
+    """(row, hashed term) of the words of each text and of their beginnings, so that a word's inflected forms have terms in common."""
     letters = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(text, "")), r"[^\pL]+", " ")
     flat, at = words(letters)
     coded = flat.dictionary_encode()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    hashes = (hashes >> np.uint64(64 - SPACE)).astype(np.int64)
     code = coded.indices.to_numpy(zero_copy_only=False) if len(flat) else np.empty(0, np.int64)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    return row, hashes[code] if len(code) else np.empty(0, np.int64)
+    hashes = [_hashed(coded.dictionary)]
+    rows, known = [row], [hashes[0][code] if len(code) else np.empty(0, np.int64)]
+    size = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)
+    for n in BEGINNINGS:
+        longer = size > n
+        if not longer.any():
+            continue
+        starts = pc.binary_join_element_wise(pc.utf8_slice_codeunits(coded.dictionary, 0, n), "", "-").dictionary_encode()
+        h = _hashed(starts.dictionary)[starts.indices.to_numpy(zero_copy_only=False)]
+        has = longer[code]
+        rows.append(row[has])
+        known.append(h[code[has]])
+    return np.concatenate(rows), np.concatenate(known)
+
+
+def _hashed(terms: pa.Array) -> np.ndarray:
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, terms.cast(pa.binary()).to_pylist()), np.uint64, len(terms))
+    return (h >> np.uint64(64 - SPACE)).astype(np.int64)
 
 
 @dataclass
@@ -62,8 +83,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _sums(r: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``x`` by ``r``, which is in order."""
     out = np.zeros((n, *x.shape[1:]))
-    np.add.at(out, r, x)
+    if len(r):
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        out[r[first]] = np.add.reduceat(x, first, axis=0)
     return out
 
 
@@ -98,13 +122,17 @@ def fit(rows: list[np.ndarray], label: np.ndarray, share: np.ndarray | None = No
     place[chosen] = np.arange(len(chosen))
     keep = place[coded] >= 0
     r, t = row[keep], place[coded][keep]
+    by_term = np.argsort(t, kind="stable")
+    in_order = t[by_term]
     rng = np.random.default_rng(7)
     w = {"b": np.array(np.log(prior / (1 - prior))), "w": np.zeros(len(chosen)), "v": rng.normal(0, 0.05, (len(chosen), FACTORS))}
     m, s = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
     for step in range(1, STEPS + 1):
-        z, total = _logit(r, t, len(rows), w["b"], w["w"], w["v"])
+        on = rng.random(len(r)) < SEEN
+        z, total = _logit(r[on], t[on], len(rows), w["b"], w["w"], w["v"])
         d = share * (_sigmoid(z) - label) / n
-        grad = {"b": d.sum(), "w": np.bincount(t, d[r], len(chosen)) + 1e-5 * w["w"], "v": _sums(t, d[r][:, None] * (total[r] - w["v"][t]), len(chosen)) + 1e-4 * w["v"]}
+        of = np.where(on[:, None], d[r][:, None] * (total[r] - w["v"][t]), 0)[by_term]
+        grad = {"b": d.sum(), "w": np.bincount(t[on], d[r[on]], len(chosen)) + 1e-5 * w["w"], "v": _sums(in_order, of, len(chosen)) + PAIRS * w["v"]}
         for k in w:  # Adam
             m[k] = 0.9 * m[k] + 0.1 * grad[k]
             s[k] = 0.99 * s[k] + 0.01 * grad[k] ** 2
@@ -133,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = texts.join(F.broadcast(some), "doc_id").mapInArrow(_collect_terms, "toxic int, terms array<int>").toArrow()
     by: dict[bytes, list] = {}
-    for terms, y in zip(got.column("terms").to_pylist(), got.column("toxic").to_pylist()):
-        x = np.array(terms, np.int64)
+    for terms, y in zip(got.column("terms"), got.column("toxic").to_pylist()):
+        x = terms.values.to_numpy(zero_copy_only=False)
         entry = by.setdefault(x.tobytes(), [x, 0, 0])
         entry[1] += y
         entry[2] += 1

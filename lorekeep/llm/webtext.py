@@ -26,11 +26,18 @@ RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|s
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 LEFT_OUT = frozenset("nav footer aside header form menu dialog head title button select option fieldset label input".split())
+#: Elements whose end tag may be missing, and elements whose end ends them.
+UNCLOSED = frozenset("p li dt dd tr td th".split())
+ENDS = frozenset("article body div dl main ol section table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MARKED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side-bar sidenav aside menu nav navbar navigation topnav breadcrumb breadcrumbs crumbs header masthead footer foot bottom cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments commentlist disqus reply replies respond discussion widget pagination pager toolbar search copyright legal disclaimer toc contentinfo complementary".split()
 )
+#: Words that turn a compound name into a state of what surrounds such a part ("has-sidebar").
+STATES = frozenset("closed disabled enabled has is layout no open with without".split())
+#: Code points that text in wholly marked pages must have to be taken for an article.
+ARTICLE = 600
 SPLIT = re.compile(r"[\s_]+")
 PARTS = re.compile(r"-+|(?<=[a-z])(?=[A-Z])")
 
@@ -39,13 +46,17 @@ def unwanted(attributes: str) -> bool:
     """True if a class, id, role or label names a part that is no article."""
     for m in MARKED.finditer(attributes):
         for name in SPLIT.split(m[1] or m[2] or m[3] or ""):
-            if name.lower() in NAMES or any(p.lower() in NAMES for p in PARTS.split(name)):
+            parts = {p.lower() for p in PARTS.split(name)}
+            if name.lower() in NAMES or parts & NAMES and not parts & STATES:
                 return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, code points outside links, inside an article or main element) of each block; ('', 0, ...) where a part is left out."""
+def lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
+    """(text, code points outside links, inside an article or main element) of each block; ('', 0, ...) where a part is left out.
+
+    Parts are left out by their element, and by their names too unless ``by_name`` is false.
+    """
     out: list[tuple[str, int, bool]] = []
     page = RAW.sub(" ", page)
     text: list[str] = []
@@ -74,6 +85,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if skip:
             if name in ("article", "main") and not close and skip not in ("article", "main") and not unwanted(attributes):
                 skip = ""  # a part that was never closed can't hold the article
+            elif skip in UNCLOSED and (name in ENDS if close else name == skip or name in BLOCKS and skip == "p"):
+                skip = ""  # its end tag may be missing
             elif name == skip:
                 depth += -1 if close else 1
                 if not depth:
@@ -85,7 +98,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             end()
         elif name == "br" or name in ("td", "th"):
             text.append(" ")
-        if not close and name not in VOID and (name in LEFT_OUT or (name not in ("body", "html", "main") and attributes and unwanted(attributes))):
+        if not close and name not in VOID and (name in LEFT_OUT or (by_name and name not in ("body", "html", "main") and attributes and unwanted(attributes))):
             end()
             out += [("", 0, inside > 0)] * WINDOW
             if not attributes.rstrip().endswith("/"):
@@ -101,7 +114,15 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
 
 def main_text(page: str) -> str:
-    found = lines(page)
+    text = _between(lines(page))
+    if not text:  # a name may stand on an element around everything; then only elements tell parts apart
+        text = _between(lines(page, by_name=False))
+        text = text if len(text) >= ARTICLE else ""
+    return text
+
+
+def _between(found: list[tuple[str, int, bool]]) -> str:
+    """The text between surges and dives."""
     if any(x[2] and x[0] for x in found):
         found = [x if x[2] else ("", 0, False) for x in found]
         size = [len(x[0]) for x in found]
