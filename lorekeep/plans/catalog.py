@@ -100,14 +100,17 @@ def version_pairs(spark, sf):
     return duplicates.versions(_numbered(spark, sf).groupBy("path").agg(F.min("sha256").alias("sha256")))
 
 
-@query(f"""WITH {_FILES}, live AS (SELECT *, CASE WHEN path LIKE '/corpus/src0%' THEN 0 ELSE 1 END AS r FROM files WHERE path NOT LIKE '/corpus/src15/%' AND (path LIKE '/corpus/src0%' OR path LIKE '/corpus/src1%') AND (path LIKE '/corpus/src00/%' OR path LIKE '/corpus/src01/%' OR path LIKE '/corpus/src02/%' OR path LIKE '/corpus/src11/%')),
-a AS (SELECT *, CASE WHEN path LIKE '/corpus/src11/%' THEN 0 WHEN path LIKE '/corpus/src00/%' THEN 1 WHEN path LIKE '/corpus/src01/%' THEN 2 ELSE 3 END AS pr FROM live),
-l AS (SELECT sha256, path, size, row_number() OVER (PARTITION BY sha256 ORDER BY pr, path) AS k, first_value(path) OVER (PARTITION BY sha256 ORDER BY pr, path) AS keeper FROM a),
-h AS (SELECT sha256, path, size, row_number() OVER (PARTITION BY sha256 ORDER BY path) AS k, first_value(path) OVER (PARTITION BY sha256 ORDER BY path) AS keeper FROM files WHERE path LIKE '/corpus/src15/%')
+_ROOTS = ("src18", "src11", "src13", "src7", "src1")
+
+
+@query(f"""WITH {_FILES}, live AS (SELECT *, list_position({list(_ROOTS)}, source) AS pr FROM files WHERE source IN {_ROOTS}),
+l AS (SELECT sha256, path, size, row_number() OVER (PARTITION BY sha256 ORDER BY pr, path) AS k, first_value(path) OVER (PARTITION BY sha256 ORDER BY pr, path) AS keeper FROM live),
+h AS (SELECT sha256, path, size, row_number() OVER (PARTITION BY sha256 ORDER BY path) AS k, first_value(path) OVER (PARTITION BY sha256 ORDER BY path) AS keeper FROM files WHERE source IN ('src8', 'src9'))
 SELECT 'live_delete' AS action, path, sha256, size, keeper FROM l WHERE k > 1 UNION ALL SELECT 'held_delete', path, sha256, size, keeper FROM h WHERE k > 1""")
 def cleanup_plan(spark, sf):
-    roots = [f"/corpus/{s}" for s in ("src11", "src00", "src01", "src02")]
-    return duplicates.cleanup(corpus(spark, sf), roots, "/corpus/src15")
+    files = corpus(spark, sf).withColumn("path", F.when(F.col("source").isin("src8", "src9"), F.concat(F.lit("/held"), "path")).otherwise(F.col("path")))
+    plan = duplicates.cleanup(files, [f"/corpus/{s}" for s in _ROOTS], "/held")
+    return plan.withColumns({c: F.regexp_replace(c, "^/held", "") for c in ("path", "keeper")})
 
 
 # Log, index, unseen files
@@ -163,11 +166,11 @@ def seen_shas(spark, sf):
     return provenance.seen(action_index(spark, sf))
 
 
-@query(f"""WITH {_FILES}, seen AS (SELECT sha256 FROM files WHERE source IN ('src03', 'src07')), r AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY root_idx, path) AS k FROM files WHERE sha256 NOT IN (SELECT sha256 FROM seen))
+@query(f"""WITH {_FILES}, seen AS (SELECT sha256 FROM files WHERE source IN ('src11', 'src7')), r AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY root_idx, path) AS k FROM files WHERE sha256 NOT IN (SELECT sha256 FROM seen))
 SELECT path, sha256, size, root_idx FROM r WHERE k = 1""")
 def delta_unseen(spark, sf):
     files = corpus(spark, sf)
-    return provenance.unseen(files.drop("text"), files.where("source in ('src03', 'src07')").select("sha256").distinct())
+    return provenance.unseen(files.drop("text"), files.where("source in ('src11', 'src7')").select("sha256").distinct())
 
 
 @query(f"""WITH {_FILES}, idx AS (SELECT regexp_extract(path, '[^/]*$') AS base, min(struct_pack(p := path, s := sha256)) AS f FROM files GROUP BY 1)
@@ -411,13 +414,13 @@ def normalization_plan(spark, sf):
     return artifacts.normalization(rendered(spark, sf)).select("doc_id", "changed")
 
 
-@query(f"""WITH s AS (SELECT doc_id, source, upper(sha256(text)) AS sha FROM documents), f AS (SELECT min(doc_id) AS doc_id, sha FROM s WHERE source <> 'src05' AND sha NOT IN (SELECT sha FROM s WHERE source = 'src05') GROUP BY sha)
+@query(f"""WITH s AS (SELECT doc_id, source, upper(sha256(text)) AS sha FROM documents), f AS (SELECT min(doc_id) AS doc_id, sha FROM s WHERE source <> 'src5' AND sha NOT IN (SELECT sha FROM s WHERE source = 'src5') GROUP BY sha)
 SELECT sha AS source_sha256, CASE WHEN row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) = 1 THEN 'chat-' || CAST(doc_id % 10 AS VARCHAR) ELSE 'chat-' || CAST(doc_id % 10 AS VARCHAR) || '-' || lower(left(sha, 8)) END || '.distill.json' AS filename FROM f""")
 def distill_queue(spark, sf):
     d = table(spark, sf, "documents")
     rows = d.select(F.col("doc_id").alias("root_idx"), F.concat(F.lit("/x/claude-Chat_"), (F.col("doc_id") % 10).cast("string"), F.lit(".md")).alias("path"), T.sha(F.col("text")).alias("sha256"), F.lit("EXPLORATORY_CHAT").alias("archetype"), "source")
-    queued = rows.where("source = 'src05'").select(F.concat(F.lit("old-"), "sha256", F.lit(".distill.json")).alias("filename"), F.col("sha256").alias("source_sha256"))
-    return artifacts.distill_queue(rows.where("source <> 'src05'").drop("source"), queued, "/inbox").select("source_sha256", "filename")
+    queued = rows.where("source = 'src5'").select(F.concat(F.lit("old-"), "sha256", F.lit(".distill.json")).alias("filename"), F.col("sha256").alias("source_sha256"))
+    return artifacts.distill_queue(rows.where("source <> 'src5'").drop("source"), queued, "/inbox").select("source_sha256", "filename")
 
 
 # Recall, packs, feeds

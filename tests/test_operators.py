@@ -1,0 +1,316 @@
+import json
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lorekeep.config import EngineConfig, PackRequest, RecallConfig
+from lorekeep.functions import text as T
+from lorekeep.operators import artifacts, audit, duplicates, feed, gates, graph, neardup, packs, provenance, recall
+from lorekeep.sources import frontmatter, log
+from lorekeep.streaming import feeds
+
+
+def files(spark, rows):
+    df = spark.createDataFrame([(r[0], r[1], i) for i, r in enumerate(rows)], "path string, text string, root_idx int")
+    return df.select("root_idx", "path", "text", T.sha(F.col("text")).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+
+
+def test_copies_and_versions(spark):
+    f = files(spark, [("/b/a.md", "1"), ("/b/a (1).md", "1"), ("/a/z.md", "1"), ("/b/c (2).md", "3"), ("/b/c.md", "2"), ("/held/x", "1"), ("/held/y", "1"), ("/other/q", "1"), ("/b/d (1).md", "9")])
+    plan = duplicates.plan(duplicates.live_copies(f, ["/b", "/a"], "/held")).collect()
+    assert [(p.canonical, p.redundant) for p in plan] == [("/b/a.md", ["/b/a (1).md", "/a/z.md"])]
+    actions = {(r.action, r.path, r.keeper) for r in duplicates.cleanup(f, ["/b", "/a"], "/held").collect()}
+    assert actions == {("live_delete", "/b/a (1).md", "/b/a.md"), ("live_delete", "/a/z.md", "/b/a.md"), ("lineage_move", "/b/c (2).md", "/b/c.md"), ("held_delete", "/held/y", "/held/x")}
+    assert {(r.variant, r.kind, r.n) for r in duplicates.versions(f).collect()} == {("/b/a (1).md", "accidental", 1), ("/b/c (2).md", "lineage", 2)}
+
+
+def test_index_and_lookups(spark, tmp_path):
+    there = tmp_path / "kept.md"
+    there.write_text("x")
+    rows = [("move", "/old/Name.md", str(there), "ab"), ("delete", "/gone/a.md", None, "cd"), ("move", "/w", None, "Withheld-1"), ("copy", None, None, ""), (None, "/n.md", None, "EF")]
+    ix = provenance.index(spark.createDataFrame(rows, "op string, src_abs string, dst_abs string, sha256 string"), [("/old/", "cold")])
+    assert {(r.sha256, r.path, r.current, r.tier, r.op) for r in ix.collect()} == {("AB", str(there), 1, "live", "move"), ("AB", "/old/Name.md", 0, "cold", "move"), ("CD", "/gone/a.md", 0, "live", "delete"), ("EF", "/n.md", 0, "live", None)}
+    got = {r.sha256: r for r in provenance.resolve(spark.createDataFrame([("aB",), ("zz",)], "sha256 string"), ix).collect()}
+    assert got["AB"].paths == [str(there), "/old/Name.md"] and got["AB"].current and got["AB"].tier == "live"
+    assert got["ZZ"].paths == [] and got["ZZ"].path is None and not got["ZZ"].current
+    cites = spark.createDataFrame([([("gh", None, None)],)], frontmatter_sources())
+    assert {r.sha256 for r in provenance.seen(ix, cites).collect()} == {"AB", "EF", "GH"}
+    asked = spark.createDataFrame([("/x/KEPT.md", False), ("/x/ept.md", False), ("/x/none.md", False), ("/x/a", True)], "path string, exists boolean")
+    assert {r.path: (r.recoverable_by_name, r.dangling) for r in provenance.dangling(asked, ix).collect()} == {"/x/KEPT.md": (True, False), "/x/ept.md": (True, False), "/x/none.md": (False, True), "/x/a": (False, False)}
+    e = spark.createDataFrame([("none", "D:\\q\\NAME.md"), ("a.md", "nope"), ("no", None)], "name string, path string")
+    assert {r.name: r.sha256 for r in provenance.by_name(e, ix).collect()} == {"none": "AB", "a.md": "CD", "no": None}
+    assert [r.place for r in provenance.current_first(ix.where("sha256 = 'AB'")).orderBy("place").collect()] == [1, 2]
+
+
+def frontmatter_sources():
+    return "sources array<struct<sha256:string,title:string,path:string>>"
+
+
+def test_unseen_takes_first_of_each_hash(spark):
+    f = files(spark, [("/r/b", "1"), ("/r/a", "1"), ("/r/c", "2"), ("/r/d", "3")])
+    seen = f.where("text = '2'").select("sha256")
+    assert {r.path for r in provenance.unseen(f.drop("text"), seen).collect()} == {"/r/b", "/r/d"}
+
+
+def test_log_reads_nested_files_and_skips_bad_lines(spark, tmp_path):
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    manifest = log.Log(str(tmp_path / "deep" / "er" / "m.jsonl"))
+    manifest.append(op="move", sha256="ab", size_bytes=1, stage="s", reason="r", src_abs="/a", dst_abs=None)
+    with open(tmp_path / "x.jsonl", "w") as f:
+        f.write('not json\n\n{"op": "copy", "sha256": "CD", "src_abs": "/b"}\n')
+    rows = {r.op: r for r in log.read(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"move", "copy"} and rows["move"].sha256 == "AB" and rows["move"].ts_utc.endswith("Z") and rows["move"].reversible
+    assert log.read(spark, str(tmp_path / "none")).collect() == []
+    assert log.record(op="x", sha256="a", size_bytes=0, stage="s", reason="", src_abs="/mnt/c/a", path_style="windows")["src_abs"] == "C:\\a"
+    with pytest.raises(ValueError):
+        log.record(op="x", sha256="a", size_bytes=0, stage="s", reason="", src_abs="/a", path_style="odd")
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60) if i % 20 != 19] + [("n000", "n000"), (None, "n001")] + [(f"n{rng.randint(100, 130)}", f"n{rng.randint(100, 130)}") for _ in range(20)]
+    want = {}
+    for a, b in edges:
+        if a and b:
+            group = want.get(a, {a}) | want.get(b, {b})
+            for x in group:
+                want[x] = group
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {x: min(g) for x, g in want.items() if x != min(g)}
+
+
+def jaccard(a, b):
+    s = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a.lower(), b.lower())]
+    return len(s[0] & s[1]) / len(s[0] | s[1]) if s[0] | s[1] else 0.0
+
+
+@pytest.mark.parametrize("block", [1_000_000, 60])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 9)) for _ in range(40)) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        words = rng.choice(base).split()
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            words[rng.randrange(40)] = "new"
+        rows.append((f"/d{i:02}/{'plan' if i % 3 else 'report'} ({i}).md", " ".join(words)))
+    rows += [("/a/readme.md", base[0]), ("/b/readme.md", base[0]), ("/a/short.md", "one two"), ("/b/short.md", "one two")]
+    up = {p: p for p, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (p, a) in enumerate(rows):
+        for q, b in rows[:i]:
+            if ("plan" in p) == ("plan" in q) and ("report" in p) == ("report" in q) and "readme" not in p and jaccard(a, b) >= 0.6:
+                up[max(root(p), root(q))] = min(root(p), root(q))
+    want = {p: root(p) for p in up if sum(root(q) == root(p) for q in up) > 1}
+    assert {r.path: r.cluster for r in neardup.clusters(files(spark, rows), 0.6).collect()} == want
+
+
+def test_keepers(spark):
+    rows = [("c", "/xa.md", 9, None), ("c", "/b.md", 5, None), ("c", "/c.md", 7, None)]
+    df = spark.createDataFrame(rows, "cluster string, path string, size long, established boolean")
+    assert {r.path: (r.canonical, r.loser) for r in neardup.keepers(df.drop("established")).collect()} == {"/xa.md": ("/c.md", True), "/b.md": ("/c.md", True), "/c.md": ("/c.md", False)}
+    old = df.withColumn("established", F.col("path") != "/c.md")
+    assert {r.path: (r.canonical, r.loser) for r in neardup.keepers(old).collect()} == {"/xa.md": ("/b.md", False), "/b.md": ("/b.md", False), "/c.md": ("/b.md", True)}
+
+
+GOOD = "---\nid: KB-a\ntype: doctrine\nstatus: seeded\nconfidence: High\nsources:\n- sha256: AB\n---\n# T\n\n## S\nok\n\n## Stripping Ledger\nDropped: Foo Bar\n"
+
+
+def artifact(**changes):
+    return {"path": "/i/a.md", "text": GOOD, "reported": True, "archetype": "REFERENCE_NOTE", "coverage": 1.0, "missing": [], "faithfulness": None, "unsupported": None, "taken": False} | changes
+
+
+def outcomes(spark, rows, policy=gates.Policy()):
+    schema = "path string, text string, reported boolean, archetype string, coverage double, missing array<string>, faithfulness double, unsupported array<string>, taken boolean"
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema).withColumn("n", F.monotonically_increasing_id())
+    return [r.reject_reason for r in gates.decided(df, policy).orderBy("n").collect()]
+
+
+def test_gates_in_order(spark):
+    chat = {"archetype": "EXPLORATORY_CHAT", "coverage": None, "missing": None}
+    rows = [
+        artifact(), artifact(text="lead\n" + GOOD), artifact(reported=False), artifact(coverage=0.94), artifact(archetype="DECISION_LOG", coverage=0.41, missing=["foo  bar"]), artifact(missing=["Lost"]),
+        artifact(**chat, faithfulness=0.89), artifact(**chat, faithfulness=0.9), artifact(**chat, faithfulness=1.0, text=GOOD.replace("Dropped: Foo Bar", "")), artifact(text=GOOD.replace("sha256: AB", "path: x")),
+        artifact(text=GOOD.replace("- sha256: AB", "- sha256: AB\n- title: t")), artifact(taken=True), artifact(text="## S\nok\n## Stripping Ledger\nx\n"), artifact(archetype=None, coverage=1.0),
+    ]
+    assert outcomes(spark, rows) == [None, "chunk_lint", "no_gate_report", "coverage", None, "unexplained_loss", "faithfulness", None, "no_ledger", "no_link_back", "no_link_back", "name_taken", "no_link_back", "faithfulness"]
+    policy = gates.Policy(confidence_for=["Doctrine"], confidences=["high", "LOW"])
+    rows = [artifact(), artifact(text=GOOD.replace("High", "so-so")), artifact(text=GOOD.replace("confidence: High\n", "")), artifact(text=GOOD.replace("doctrine", "protocol").replace("High", "x"))]
+    assert outcomes(spark, rows, policy) == [None, "bad_confidence", "no_confidence", None]
+
+
+def test_sources_are_found_by_hash_then_by_path(spark):
+    fm = "---\nsources:\n- sha256: ab\n  path: /inline\n- sha256: CD\n---\nbody"
+    arts = spark.createDataFrame([("/1", fm), ("/2", fm.replace("ab", "zz")), ("/3", fm.replace("ab", "zz").replace("/inline", "/none")), ("/4", "none")], "path string, text string")
+    ix = spark.createDataFrame([("AB", "/lost", 1), ("AB", "/old", 0), ("AB", "/there", 1), ("CD", "/cd", 1)], "sha256 string, path string, current int")
+    at = spark.createDataFrame([(p, "text of " + p) for p in ("/old", "/there", "/inline", "/cd")], "path string, text string")
+    assert {r.path: r.source for r in gates.cited(arts, ix, at).collect()} == {"/1": "text of /there", "/2": "text of /inline", "/3": "text of /cd"}
+
+
+def test_audit(spark):
+    rows = [
+        ("/h/good.md", GOOD), ("/h/none.md", "# T\nno header"), ("/h/README.md", "x"), ("/h/bare.md", "---\nid: ''\nsources: [{path: x}]\ntype: Odd\n---\nno title"), ("/h/big.md", GOOD + "## L\n" + "x" * 4000), ("/h/list.md", "---\n- a\n---\n"),
+        ("/g/good.md", GOOD.replace("ok", " ".join("same words over and over again here".split() * 3))), ("/h/twin (1).md", GOOD.replace("ok", "a b c d e f g h i j k")), ("/h/twin.md", GOOD.replace("ok", "a b c d e f g h i j k")),
+    ]
+    f = files(spark, rows).withColumn("error", F.lit(None).cast("string"))
+    found = audit.surface(f.unionByName(files(spark, [("/h/bad.md", "x")]).withColumn("error", F.lit("gone"))), oversize=3000)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.path, []).append(r.rule)
+    assert {p: sorted(x) for p, x in got.items()} == {
+        "/h/none.md": ["frontmatter_invalid"], "/h/list.md": ["frontmatter_invalid"], "/h/bare.md": ["chunk:missing_leading_heading", "missing_field", "missing_field", "missing_h1_title", "missing_sha256_linkback", "unknown_type"],
+        "/h/big.md": ["chunk:over_chars", "chunk:over_est_tokens", "oversize"], "/h/bad.md": ["read_error"], "/h/twin (1).md": ["near_duplicate"],
+    }
+    assert audit.verdict(found) == "FAIL" and audit.verdict(found.limit(0)) == "PASS"
+    assert {r["rule"]: r["count"] for r in audit.by_rule(found).collect()}["missing_field"] == 2
+
+
+def test_artifacts_and_normalization(spark):
+    texts = ["---\ntitle: Ä\nid: own\n---\n\nBody", "no header", "---\n: [\n---\nbad"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    art = artifacts.built(F.col("text"), sha256=F.lit("AB"), title=F.lit("t"), path=F.lit("/p"), type_=F.lit("doctrine"), id_=F.lit("KB-t"))
+    got = [r.a for r in df.select("i", art.alias("a")).orderBy("i").collect()]
+    link = "sources:\n- sha256: AB\n  title: t\n  path: /p\n---\n\n"
+    assert got == ["---\ntitle: Ä\nid: own\ntype: doctrine\nstatus: seeded\n" + link + "Body", "---\nid: KB-t\ntype: doctrine\nstatus: seeded\n" + link + "no header", "---\nid: KB-t\ntype: doctrine\nstatus: seeded\n" + link + "---\n: [\n---\nbad"]
+    rows = [("/h/My Note.md", "---\nid: Foo\nstatus: Active\nsources: []\n---\n\n\nx \xe2\x80\x94"), ("/h/b.md", "plain caf\xc3\xa9"), ("/h/README.md", "---\nid: x\n---\n"), ("/h/e.md", "---\n---\nx")]
+    plan = {r.path: r for r in artifacts.normalization(files(spark, rows)).collect()}
+    assert plan["/h/My Note.md"].normalized == "---\nid: KB-foo\nstatus: reviewed\nsources: []\ndistill: 3\n---\n\nx —" and plan["/h/My Note.md"].slug == "my-note"
+    assert plan["/h/b.md"].normalized == "plain café" and plan["/h/e.md"].changed is False and "/h/README.md" not in plan
+    again = artifacts.normalization(files(spark, [(p, r.normalized) for p, r in plan.items()])).where("changed").count()
+    assert again == 0
+    more = F.array(F.struct(F.lit("CD").alias("sha256"), F.lit("n").alias("title"), F.lit("/n").alias("path")))
+    one = artifacts.normalization(files(spark, rows[:1]).withColumn("more", more), more=F.col("more")).first().normalized
+    assert "- sha256: CD\n  title: n\n  path: /n\n" in one
+
+
+def test_queue(spark):
+    src = spark.createDataFrame([(0, "/a/Chat.md", "ab"), (1, "/b/chat.md", "CD"), (2, "/c/chat.md", "CD"), (3, "/d/other.md", "EF"), (4, "/e/seen.md", "11")], "root_idx int, path string, sha256 string").withColumn("archetype", F.lit("EXPLORATORY_CHAT"))
+    old = spark.createDataFrame([("other.distill.json", "99"), ("s.distill.json", "11")], "filename string, source_sha256 string")
+    got = {r.source_sha256: (r.filename, r.target_inbox_path) for r in artifacts.distill_queue(src, old, "/in/").collect()}
+    assert got == {"AB": ("chat.distill.json", "/in/chat.md"), "CD": ("chat-cd.distill.json", "/in/chat-cd.md"), "EF": ("other-ef.distill.json", "/in/other-ef.md")}
+
+
+RECORD = {"kind": "Run log", "work_unit_id": "WU/1", "source_ref": "s:1", "summary": 'say "hi" \\ \t\x01 é\n', "sha256": "a" * 64, "emitted_by": "bot", "unknown": 1}
+
+
+def test_feed_round_trip(spark, tmp_path):
+    custody = feed.Custody(str(tmp_path / "cold"), str(tmp_path / "log.jsonl"), str(tmp_path / "staged"), received_from="me")
+    first = feed.ingest_records(spark, [RECORD, RECORD], custody)
+    assert [r["duplicate"] for r in first] == [False, True] and first[0]["link_sha256"] == "A" * 64 and first[0]["advisory"]
+    path = first[0]["cold_path"]
+    raw = open(path, "rb").read()
+    doc = json.loads(raw)
+    assert raw == (json.dumps(doc, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode() and doc["summary"] == RECORD["summary"] and doc["advisory"] and not doc["is_truth_source"] and doc["sources"][0]["sha256"] == "A" * 64
+    assert os.path.basename(path).startswith("Run_log.WU_1.") and custody.received_from not in raw.decode()
+    draft = open(first[0]["hot_candidate_path"]).read()
+    assert "status: draft" in draft and draft.endswith("é\n\n")
+    rows = [r.asDict() for r in spark.read.json(custody.manifest_dir).collect()]
+    assert sorted(r["op"] for r in rows) == ["ingest", "ingest-hot-candidate"] and all(r["reversible"] for r in rows)
+    assert [r["duplicate"] for r in feed.ingest_records(spark, [RECORD], custody)] == [True] and spark.read.json(custody.manifest_dir).count() == 2
+
+
+@pytest.mark.parametrize("change", [{"sha256": "a" * 63}, {"sha256": "g" * 64}, {"sha256": None}, {"kind": " "}, {"summary": None}, {"source_ref": ""}])
+def test_feed_refuses(spark, tmp_path, change):
+    custody = feed.Custody(str(tmp_path / "cold"), str(tmp_path / "log.jsonl"))
+    with pytest.raises(feed.FeedError):
+        feed.ingest_records(spark, [RECORD | change], custody)
+    assert not os.path.exists(custody.cold_root)
+    rows = spark.createDataFrame([tuple((r | {}).get(f) for f in feed.FIELDS) for r in (RECORD, RECORD | change)], feed.SCHEMA)
+    receipts, refused = feed.ingest(rows, custody)
+    assert receipts.count() == 1 and refused.count() == 1
+
+
+def test_feed_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    custody = feed.Custody(str(tmp_path / "cold"), str(tmp_path / "log.jsonl"))
+    bad = []
+    for n in range(2):
+        with open(tmp_path / "in" / f"{n}.json", "w") as f:
+            f.writelines(json.dumps(RECORD | {"work_unit_id": str(i)}) + "\n" for i in range(3 + n))
+            f.write(json.dumps(RECORD | {"sha256": "x"}) + "\n")
+        feeds.ingest(feeds.records(spark, str(tmp_path / "in")), custody, str(tmp_path / "state"), lambda df: bad.append(df.count()), once=True).awaitTermination()
+    assert len(os.listdir(custody.cold_root)) == 4 and sum(bad) == 2
+
+
+def test_unseen_stream(spark, tmp_path):
+    got = []
+    for n, texts in enumerate((["1", "2", "2"], ["2", "3"])):
+        files(spark, [(f"/{n}{i}", t) for i, t in enumerate(texts)]).drop("text").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("root_idx int, path string, sha256 string, size long").parquet(str(tmp_path / "in"))
+        feeds.unseen(stream, str(tmp_path / "seen"), lambda df: got.append(sorted(r.path for r in df.collect())), str(tmp_path / "state"), once=True).awaitTermination()
+    assert got == [["/00", "/01"], ["/11"]]
+
+
+def test_recall(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [0.0, 0.0]), ("d", [2.0, 0.0])], "path string, embedding array<double>")
+    assert [(r.path, round(r.score, 6)) for r in recall.nearest(v, [3.0, 0.0], 3).collect()] == [("a", 1.0), ("d", 1.0), ("b", 0.6)]
+    docs = spark.createDataFrame([("x", "the cat sat"), ("y", "the dog"), ("z", "Cat cat CAT"), ("n", None)], "path string, text string")
+    assert [r.path for r in recall.bm25(docs, "cat", 5).collect()] == ["z", "x"] and recall.bm25(docs, " ", 5).collect() == []
+    hot = spark.createDataFrame([("a.md?index=h", 0.2), ("b.md", 0.1)], "path string, score double")
+    cold = spark.createDataFrame([("a.md", 9.0), ("c.md", 8.0), ("d.md", 7.0)], "path string, score double")
+    assert [(r.tier, r.place, r.path) for r in recall.two_tiers(hot, cold, 1).orderBy("tier", "place").collect()] == [("cold", 1, "c.md"), ("hot", 1, "a.md?index=h"), ("hot", 2, "b.md")]
+    assert recall.weak(hot).first()[0] and not recall.weak(hot, 0.2).first()[0] and recall.weak(hot.limit(0)).first()[0]
+
+
+def test_backend_output(spark):
+    outputs = {
+        'x [{"file": "a.md", "score": 0.5}, {"file": "b.md", "score": "0.9"}, {"score": 0.1}, {"file": "n"}, 3, {"file": "q", "score": "no"}] y': [("b.md", 0.9), ("a.md", 0.5), ("", 0.1)],
+        "result: a/b.md  score: 0.25\nc.md score: .5\nno path score: 1": [("c.md", 0.5), ("a/b.md", 0.25)],
+        "No Results [1]": [], "  ": [], "": [], "[broken": [], "]x[": [], '{"a": 1}': [], "[]": [],
+    }
+    df = spark.createDataFrame([(o,) for o in outputs], "o string")
+    assert {r.o: [(h["path"], h["score"]) for h in r.h] for r in df.select("o", recall.hits(F.col("o")).alias("h")).collect()} == outputs
+
+
+def test_backend_calls(spark):
+    cfg = RecallConfig(bin="tool", cwd="/w d", cold_cap=1)
+    asked = []
+
+    def runner(args):
+        asked.append(args)
+        return '[{"file": "h.md", "score": 0.2}]' if args[0] == "query" else '[{"file": "h.md", "score": 3}, {"file": "c.md", "score": 2}, {"file": "d.md", "score": 1}]'
+
+    got = recall.recall(spark, "what; now", cfg, runner)
+    assert asked == [["query", "--json", "what; now"], ["search", "--json", "--index", "cold", "what; now"]]
+    assert [h["path"] for h in got["hot"]] == ["h.md"] and [h["path"] for h in got["cold"]] == ["c.md"] and got["tiers"] == ["hot", "cold"] and got["weak_hot"]
+    assert recall.shell_command(cfg, ["query", "a b"]) == "cd '/w d' && tool query 'a b'"
+    assert recall.reindex(cfg, apply=False)["labels"] == ["update", "embed", "status"] and recall.reindex(cfg, lambda a: a[0])["outputs"]["embed"] == "embed"
+
+    def broken(args):
+        raise OSError("gone")
+
+    assert recall.reindex(cfg, broken)["skipped"] and not recall.probe(cfg, broken)["available"] and not recall.probe(RecallConfig())["available"]
+    assert recall.probe(cfg, lambda a: "tool 1.0\nx") == {"available": True, "detail": "tool 1.0"} and not recall.probe(cfg, lambda a: "command not found")["available"]
+
+
+@pytest.mark.parametrize("name", sorted(packs.ROLES))
+def test_packs(spark, name):
+    hot = [{"path": f"h{i}.md", "score": 0.9 - i / 100, "sha256": "A" * 64} for i in range(10)] + [{"path": "secret.md", "score": 0.95, "admissibility": "private"}]
+    results = {"hot": hot, "cold": [{"path": "c.md", "score": 1.0}, {"path": "odd.md", "admissibility": "what"}], "weak_hot": True}
+    text = packs.compile_pack(spark, PackRequest("P", name, "do {it}", max_hot=3, exclusions=["own"], risks=["r"]), results=results)
+    cold = packs.ROLES[name].cold
+    assert text.count("- `h") == 3 and "score 0.900 — sha256 `AAAAAAAAAAAAAAAA…`" in text and "Excluded `secret.md` because admissibility private exceeds max internal." in text and "- own" in text and "do {it}" in text
+    assert ("- `c.md` — score 1.000" in text) == cold and ("Excluded `odd.md`" in text) == cold and ("Omitted" in text) != cold
+    assert text.count("\n## ") == 10 and "Hot recall was weak" in text and "_(none)_" in text
+
+
+def test_pack_admits_up_to_the_limit(spark):
+    results = {"hot": [{"path": p, "score": 1.0, "admissibility": p} for p in ("public", "internal", "private", "proprietary", "")], "cold": []}
+    for most, shown in (("public", 1), ("internal", 2), ("private", 3), ("proprietary", 5), ("nonsense", 2)):
+        assert packs.compile_pack(spark, PackRequest("P", "execution", "t", max_admissibility=most), config=EngineConfig(), results=results).count("- `") == shown
+    with pytest.raises(ValueError):
+        packs.role("nobody")
+
+
+def test_frontmatter_kinds(spark):
+    texts = ["---\nid: 2024-01-02\nsources: {a: 1}\n---\n", "---\n---\n", "--- \nid: x\n---\n", "---\nid: [\n---\n", "---\nsources:\n- 3\n- sha256: null\n- sha256: a\n---\n"]
+    got = [r.f for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", frontmatter.parsed(F.col("t")).alias("f")).orderBy("i").collect()]
+    assert [g.ok for g in got] == [True, False, False, False, True] and got[0].id == "2024-01-02" and not got[0].listed and (got[4].n_sources, got[4].n_linked, len(got[4].sources)) == (3, 1, 2)
