@@ -7,11 +7,12 @@ their pieces go straight to the model; any other word goes through the whole tok
 
 from __future__ import annotations
 
-import re
 import threading
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from .common import words
@@ -19,9 +20,10 @@ from .common import words
 #: Entries of a worker's piece cache; a full cache is emptied, which costs time and no results.
 CACHE = 400_000
 _LATIN = "a-zß-öø-ÿ"
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s0-9{_LATIN}]+")
+#: One piece of a plain word in lower case, with a space behind it.
+_PIECE, _SPACED = rf"('s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s0-9{_LATIN}]+)", r"\1 "
 #: Printable ASCII and Latin letters: no combining marks, no white space, no other numbers or letters. A '<' may open an added token.
-_PLAIN = re.compile(r"[!-;=-~ßà-öø-ÿÀ-ÖØ-Þ]+")
+_PLAIN = "^[!-;=-~ßà-öø-ÿÀ-ÖØ-Þ]+$"
 
 
 def _byte_letters() -> list[str]:
@@ -53,32 +55,54 @@ class WordTokenizer:
         ids = self.cache[piece] = [t.id for t in self.model.tokenize(text)]
         return ids
 
-    def word(self, word: str) -> list[int]:
-        if not _PLAIN.fullmatch(word):
-            return self.full.encode(word, add_special_tokens=False).ids
-        cache, out = self.cache, []
-        for p in _SPLIT.findall(word.lower()):
-            ids = cache.get(p)
-            out += self._piece(p) if ids is None else ids
-        return out
+    def _words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, and the number of each word's. Splitting is done by Arrow; Python sees distinct pieces only."""
+        plain = pc.match_substring_regex(distinct, _PLAIN)
+        known = plain.to_numpy(zero_copy_only=False)
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(distinct.filter(plain)), _PIECE, _SPACED))
+        flat, bounds = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0] if len(bounds) else np.zeros(1, np.int64)
+        full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(full)])[bounds]
+        coded = flat.filter(pa.array(full)).dictionary_encode()
+        cache, piece = self.cache, self._piece
+        each = [cache.get(p) or piece(p) for p in coded.dictionary.to_pylist()]
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(coded) else np.empty(0, np.int64)
+        ids, ends = _gathered(each, code)
+        sizes = np.zeros(len(distinct), np.int64)
+        sizes[known] = np.diff(ends[bounds])
+        if known.all():
+            return ids, sizes
+        odd = [self.full.encode(w, add_special_tokens=False).ids for w in distinct.filter(pc.invert(plain)).to_pylist()]
+        sizes[~known] = [len(x) for x in odd]
+        out = np.empty(int(sizes.sum()), np.int64)
+        of_plain = np.repeat(known, sizes)
+        out[of_plain] = ids
+        out[~of_plain] = [i for x in odd for i in x]
+        return out, sizes
 
     def encode(self, text: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's begin (and the end)."""
         flat, at = words(text)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
         coded = flat.dictionary_encode()
-        each = [self.word(w) for w in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        pool = np.fromiter((i for x in each for i in x), np.int64, int(size.sum()))
-        first = np.cumsum(size) - size
+        pool, size = self._words(coded.dictionary)
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(flat) else np.empty(0, np.int64)
-        n = size[code]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])] if len(code) else np.empty(0, np.int64)
+        ids, ends = _expanded(pool, size, code)
         bounds = ends[at]
         if end_id is None:
             return ids, bounds
         return np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
 
 
+def _expanded(pool: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``pool`` (of the given sizes) that ``code`` names, one behind the other, and where each begins (and the end)."""
+    first, n = np.cumsum(size) - size, size[code]
+    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    return pool[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])] if len(code) else np.empty(0, np.int64), ends
+
+
+def _gathered(each: list[list[int]], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, each), np.int64, len(each))
+    return _expanded(np.fromiter(chain.from_iterable(each), np.int64, int(size.sum())), size, code)
