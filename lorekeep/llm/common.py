@@ -2,73 +2,35 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import os
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-#: Rows of an id list that may be broadcast (16 bytes each: 32 MB at most).
-BROADCAST_ROWS = 2_000_000
-_written: list[tuple[SparkSession, str]] = []
+from ..storage import durable, only, release, shared_dir
 
+__all__ = ["durable", "grouped", "has_columns", "in_batches", "mix", "only", "release", "seed", "shared_dir", "slices", "words"]
+#: Rows that Spark hands to Python at once: texts of some kilobytes make batches of some megabytes, on both sides of the pipe.
+BATCH_ROWS = 2_000
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return path.rstrip("/")
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded size; freed memory goes back to the host when a task ends, as idle workers live on."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
-def durable(df: DataFrame, label: str = "t") -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there and a lost executor loses nothing.
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
-    The tables stay until ``release`` or the end of the driver, as returned DataFrames may still read them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorekeep-{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lorekeep_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes durable tables that nothing reads any more."""
-    for t in tables:
-        path = getattr(t, "_lorekeep_path", None)
-        if path:
-            _delete(t.sparkSession, path)
-            _written[:] = [x for x in _written if x[1] != path]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _delete_all() -> None:
-    for spark, path in _written:
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
-
-
-def only(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` joined with ``ids``, which is broadcast if a count proves it small, and shuffled otherwise."""
-    if ids.limit(limit + 1).count() <= limit:
-        ids = F.broadcast(ids)
-    return df.join(ids, on, how)
+    return df.mapInArrow(whole, schema)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,7 +44,7 @@ def seed(i: int) -> np.uint64:
     return np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows with about ``limit`` bytes of text; a longer text stands alone."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -133,7 +95,7 @@ def grouped(df: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Table],
         if held:
             yield from flush(held)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).transform(in_batches, each, schema)
 
 
 def has_columns(df: DataFrame, *names: str) -> None:

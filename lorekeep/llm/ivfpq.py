@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, grouped, has_columns
+from .common import durable, grouped, has_columns, in_batches
 from .polytope import read_vectors
 
 #: Rows that centroids and code books are fitted on: those whose hashed ids are smallest.
@@ -185,13 +185,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     sample = np.stack([x for x in sample if len(x) == widths.argmax()])
     index = build(sample, min(MAX_LISTS, max(1, round(vectors.count() ** 0.5))))
     share = probe_share(index, sample, k) if len(sample) > 1 else 1.0
-    members = durable(vectors.mapInArrow(_assign(index), "vec_id long, list int, code binary, x array<double>"), "members")
+    members = durable(vectors.transform(in_batches, _assign(index), "vec_id long, list int, code binary, x array<double>"), "members")
     sizes = np.zeros(len(index.centre))
     for r in members.groupBy("list").count().collect():  # at most MAX_LISTS rows
         sizes[r["list"]] = r["count"]
-    asking = queries.dropDuplicates(["vec_id"]).mapInArrow(_assign(index), "vec_id long, list int, code binary, x array<double>")
+    asking = queries.dropDuplicates(["vec_id"]).transform(in_batches, _assign(index), "vec_id long, list int, code binary, x array<double>")
     # Its own row may stand in the lists, so one more than k.
-    probes = durable(asking.select("vec_id", "x").mapInArrow(_probe(index, sizes, max(share * sizes.sum(), k + 1)), "vec_id long, x array<double>, list int"), "probes")
+    probes = durable(asking.select("vec_id", "x").transform(in_batches, _probe(index, sizes, max(share * sizes.sum(), k + 1)), "vec_id long, x array<double>, list int"), "probes")
     asked = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
     parts = F.create_map(*(F.lit(v) for at in range(len(sizes)) for v in (at, max(1, -(-int(sizes[at]) // CHUNK)))))
     turns = F.create_map(*(F.lit(v) for at in range(len(sizes)) for v in (at, max(1, -(-asked.get(at, 0) // QUERIES)))))

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, grouped, has_columns, mix, only, release, seed, slices, words
-from .components import components
+from ..operators.graph import components
+from .common import durable, grouped, has_columns, in_batches, mix, only, release, seed, slices, words
 
 MISS = 2e-6
 #: Shingles in one side of a block of a crowded bucket: 8 MB of hashes.
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # A set of n elements and a different one have a similarity of n / (n + 1) at most.
     least = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 62
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_ = durable(docs.mapInArrow(_summaries(k, b, r, least), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"), "sketches")
+    all_ = durable(docs.transform(in_batches, _summaries(k, b, r, least), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"), "sketches")
     named = all_.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = named.withColumnRenamed("doc_id", "rep").join(classes, ["d1", "d2", "rep"], "left_semi").where(F.size("keys") > 0)
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     centres = centres.select("key", (-F.col("x.m")).alias("centre"), F.col("x.n").alias("cn"))
     placed = durable(members.join(centres, "key"), "placed")
     involved = placed.select(F.col("rep").alias("doc_id")).distinct()
-    sets = durable(only(docs, involved, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "id long, grams array<long>"), "sets")
+    sets = durable(only(docs, involved, "doc_id").dropDuplicates(["doc_id"]).transform(in_batches, _sets(k), "id long, grams array<long>"), "sets")
     pairs = placed.where(f"rep <> centre and 100 * least(n, cn) >= {percent} * greatest(n, cn)").select("rep", "centre", "n", "cn").distinct()
     pairs = pairs.join(sets.select(F.col("id").alias("rep"), F.col("grams").alias("g1")), "rep")
     pairs = pairs.join(sets.select(F.col("id").alias("centre"), F.col("grams").alias("g2")), "centre")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, has_columns, slices
+from .common import durable, has_columns, in_batches, slices
 from .tokens import WordTokenizer
 
 #: Pieces that one task packs.
@@ -77,7 +77,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.at(path)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 6 << 20):
             ids, at = tokenizer.encode(part.column("text"), end_id)
             ids = ids.astype("<u4")
             row, start, length, crc = [], [], [], []
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2)
     """
     has_columns(docs, "doc_id", "text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = durable(docs.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    pieces = durable(docs.transform(in_batches, _pieces(tokenizer, capacity, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
     # The checksum spreads pieces that share doc_id and start; the number of groups follows the input.
     part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int")

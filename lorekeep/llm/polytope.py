@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, grouped, has_columns
-from .components import components
+from ..operators.graph import components
+from .common import durable, grouped, has_columns, in_batches
 
 HASHES, TABLES, PROBES = 3, 24, 4
 #: Vectors in one side of a block.
@@ -192,7 +192,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     has_columns(vectors, "vec_id", "embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     schema = "vec_id long, ok boolean, d1 long, d2 long, bits long, keys array<long>, unit array<double>"
-    all_ = durable(rows.mapInArrow(_hash_all, schema), "codes")
+    all_ = durable(rows.transform(in_batches, _hash_all, schema), "codes")
     named = all_.where("ok and vec_id is not null")
     classes = durable(named.groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
     reps = named.withColumnRenamed("vec_id", "rep").join(classes, ["d1", "d2", "rep"]).dropDuplicates(["d1", "d2"])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, has_columns, only, release, slices
+from .common import durable, has_columns, in_batches, only, release, slices
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -94,7 +94,7 @@ def findings(docs: DataFrame, repository: str = "doc_id", owner: str = "source")
     """A durable row for each document: row, doc_id, repository, owner, found and cands."""
     has_columns(docs, "doc_id", "text", repository, owner)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string").alias("text"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"))
-    out = docs.mapInArrow(_scan_all, f"doc_id long, key long, repository string, owner string, found {FOUND}, cands {CANDIDATES}")
+    out = docs.transform(in_batches, _scan_all, f"doc_id long, key long, repository string, owner string, found {FOUND}, cands {CANDIDATES}")
     return durable(out.withColumn("row", F.monotonically_increasing_id()), "findings")
 
 
@@ -153,7 +153,7 @@ def redact(docs: DataFrame, repository: str = "doc_id", owner: str = "source", m
     whole = work.where("_cut is null").select(*names)
     release(found)
     schema = ", ".join(f"`{n}` {types[n]}" for n in names)
-    return whole.unionByName(cut.mapInArrow(_mask_all(mask, names), schema))
+    return whole.unionByName(cut.transform(in_batches, _mask_all(mask, names), schema))
 
 
 def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_columns, slices, words
+from .common import has_columns, in_batches, slices, words
 
 #: Labelled rows that a fit reads at most: those whose hashed ids are smallest.
 FIT_ROWS = 8_000
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
     some = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)  # so many rows may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(some), "doc_id").mapInArrow(_collect_terms, "toxic int, terms array<int>").toArrow()
+    got = texts.join(F.broadcast(some), "doc_id").transform(in_batches, _collect_terms, "toxic int, terms array<int>").toArrow()
     by: dict[bytes, list] = {}
     for terms, y in zip(got.column("terms"), got.column("toxic").to_pylist()):
         x = terms.values.to_numpy(zero_copy_only=False)
@@ -178,7 +178,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """
     has_columns(docs, "doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_score_only(machine), "doc_id long, held_out boolean, score double")
+    out = rows.transform(in_batches, _score_only(machine), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -203,4 +203,4 @@ def _keep_all(machine: Machine):
 def keep_clean(docs: DataFrame, machine: Machine) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with the same columns."""
     has_columns(docs, "text")
-    return docs.mapInArrow(_keep_all(machine), docs.schema)
+    return docs.transform(in_batches, _keep_all(machine), docs.schema)

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_columns, slices
+from .common import has_columns, in_batches, slices
 
 MARK = "▁"
 UNKNOWN = 10.0
@@ -252,13 +252,13 @@ def _decode_all(path: str):
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and ids of each row of ``docs`` (doc_id, text); a null or empty text has no ids."""
     has_columns(docs, "doc_id", "text")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_encode_all(model), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(in_batches, _encode_all(model), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id and text of each row (doc_id, ids)."""
     has_columns(encoded, "doc_id", "ids")
-    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decode_all(model), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).transform(in_batches, _decode_all(model), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
@@ -269,4 +269,4 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """
     has_columns(docs, "doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_codec(model), "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, same boolean")
+    return rows.transform(in_batches, _codec(model), "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, same boolean")

@@ -1,0 +1,79 @@
+import hashlib
+import json
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lorekeep.llm import chat, queries
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def want(rows):
+    """Digest columns by conversation, from the rows alone."""
+    by = {}
+    for c, turn, role, text in rows:
+        by.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    out = {}
+    for c, turns in by.items():
+        turns = [t[2:] for t in sorted(turns)]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        said = "".join(f"{r}\n{t}\n" for r, t in turns)
+        out[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def got(df):
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(chat.format_rows(df)).collect()}
+
+
+BITS = ["<", "[", "|", "\\", "/", "s>", "im_start|>", "<|im_end|>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "a", " ", "\n", "é", "𝄞", "<\\|", "%0A", "+"]
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from([1, 2, None]), st.integers(0, 5) | st.none(), st.sampled_from(["user", "assistant", "a\nb", "<|im_end|>", "", None]), st.lists(st.sampled_from(BITS), max_size=9).map("".join) | st.none()), min_size=1, max_size=25))
+def test_round_trip_of_odd_texts(spark, rows):
+    assert got(spark.createDataFrame(rows, SCHEMA)) == want(rows)
+
+
+def test_whole_table(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    out = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op9_chat(spark, sf).collect()}
+    assert out == want(rows)
+    shown = chat.format_rows(spark.createDataFrame(rows[-2:], SCHEMA)).first().formatted
+    assert "</s>" not in shown and "[INST]" not in shown and "[/INST]" not in shown and shown.count(chat.OPEN) == 2
+
+
+def test_plan_has_no_python(spark, sf):
+    assert "Python" not in queries.op9_chat(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edge_cases(spark):
+    df = spark.createDataFrame([(1, 1, "user", "x" * 300_000), (1, 1, "user", "x" * 300_000), (2, 0, None, None)], SCHEMA)
+    extra = df.selectExpr("*", "'y' as formatted", "3 as v")
+    assert got(extra) == got(df) == want([tuple(r) for r in df.collect()])
+    assert chat.format_rows(df.limit(0)).collect() == []
+
+
+def test_layouts_are_found_by_fingerprint(spark):
+    u, a = ("user", "hi"), ("assistant", "yo")
+    cases = [
+        ({"messages": [{"role": "User", "content": "hi"}, {"role": "assistant", "content": "yo"}]}, "messages", [u, a]),
+        ({"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}, "conversations", [u, a]),
+        ({"turns": [{"text": "hi", "role": "user"}]}, "turns", [u]),
+        ({"response": "yo", "prompt": "hi"}, "prompt_response", [u, a]), ({"prompt": "hi", "completion": "yo"}, "prompt_completion", [u, a]), ({"question": "hi", "answer": 7}, "question_answer", [u, ("assistant", "7")]),
+        ({"instruction": "hi", "output": None}, "instruction", [u, ("assistant", "")]), ({"instruction": "do", "input": "x", "output": "yo"}, "instruction_input", [("user", "do\n\nx"), a]), ({"instruction": "do", "input": "", "output": "yo"}, "instruction_input", [("user", "do"), a]),
+        ({"system": "s", "prompt": "hi", "response": "yo"}, "system_prompt_response", [("system", "s"), u, a]), ({"other": 1}, None, None), ([1], None, None),
+    ]
+    rows = [(i, json.dumps(c[0])) for i, c in enumerate(cases)] + [(98, "no json"), (99, None)]
+    out = {r.i: r for r in chat.turns_from_json(spark.createDataFrame(rows, "i int, record string").withColumn("turns", F.lit(1))).collect()}
+    for i, (_, layout, turns) in enumerate(cases):
+        assert out[i].layout == layout and (out[i].turns and [tuple(t) for t in out[i].turns]) == turns
+    assert out[98].layout is None and out[99].turns is None
+
+
+def test_row_layouts(spark):
+    df = spark.createDataFrame([(5, 2, "gpt", "b"), (5, 1, "human", "a")], "id long, position int, `from` string, value string")
+    assert [tuple(t) for t in chat.turns_from_rows(df).first().turns] == [("human", "a"), ("gpt", "b")]

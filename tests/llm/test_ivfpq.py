@@ -28,7 +28,7 @@ def test_recall_and_exact_scores(spark):
 def test_chunks_and_turns(spark, monkeypatch):
     monkeypatch.setattr(ivfpq, "CHUNK", 30)
     monkeypatch.setattr(ivfpq, "QUERIES", 7)
-    monkeypatch.setattr(ivfpq, "PROBE", 1.0)
+    monkeypatch.setattr(ivfpq, "RECALL", 1.0)
     monkeypatch.setattr(ivfpq, "RERANK", 1.0)
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = df.collect()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lorekeep.llm import minhash
-from lorekeep.llm.components import components
+from lorekeep.operators.graph import components
 
 SCHEMA = "doc_id long, text string"
 
