@@ -2,7 +2,7 @@
 
 A page becomes a list of lines, one for each block element's text, without scripts, styles, forms, comments and other parts that
 never hold an article; where such a part, or one marked as a menu, advert, notice or the like, has been left out, blank lines stand, so
-it separates what is before it from what is behind it. Text inside links doesn't count towards a line's length. The lengths
+it separates what is before it from what is behind it, unless both belong to the same element: an advert amid an article doesn't end it. Text inside links doesn't count towards a line's length. The lengths
 are summed over sliding windows of WINDOW lines: a surge is a window over SURGE code points behind an empty line, a dive is where
 all lines of a window are empty. The text between surges and dives is kept; an article or main element, if there is one, bounds it.
 """
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_columns, slices
+from .common import has_columns, in_batches, slices
 
 WINDOW, SURGE = 3, 40
 #: Content up to the end tag (or the page's end) is no text at all.
@@ -26,6 +26,8 @@ RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|s
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 LEFT_OUT = frozenset("nav footer aside header form menu dialog head title button select option fieldset label input".split())
+#: Elements that tell what belongs together.
+AROUND = frozenset("article blockquote body center dd div fieldset main section table td".split())
 #: Elements whose end tag may be missing, and elements whose end ends them.
 UNCLOSED = frozenset("p li dt dd tr td th".split())
 ENDS = frozenset("article body div dl main ol section table ul".split())
@@ -58,6 +60,9 @@ def lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
     Parts are left out by their element, and by their names too unless ``by_name`` is false.
     """
     out: list[tuple[str, int, bool]] = []
+    inner: list[int] = []  # the element around each line
+    around: list[tuple[str, int]] = []
+    opened = 0
     page = RAW.sub(" ", page)
     text: list[str] = []
     linked = 0
@@ -70,7 +75,12 @@ def lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
+                own = around[-1][1] if around else 0
+                last = next((i for i in range(len(out) - 1, -1, -1) if out[i][0]), None) if out and not out[-1][0] else None
+                if last is not None and inner[last] == own:
+                    del out[last + 1 :], inner[last + 1 :]
                 out.append((line, max(0, len(line) - linked), inside > 0))
+                inner.append(own)
             text.clear()
         linked = 0
 
@@ -101,9 +111,18 @@ def lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
         if not close and name not in VOID and (name in LEFT_OUT or (by_name and name not in ("body", "html", "main") and attributes and unwanted(attributes))):
             end()
             out += [("", 0, inside > 0)] * WINDOW
+            inner += [-1] * WINDOW
             if not attributes.rstrip().endswith("/"):
                 skip, depth = name, 1
-        elif name in ("article", "main"):
+            continue
+        if name in AROUND:
+            if not close:
+                opened += 1
+                around.append((name, opened))
+            elif any(x[0] == name for x in around):
+                while around.pop()[0] != name:
+                    pass
+        if name in ("article", "main"):
             inside = max(0, inside + (-1 if close else 1))
         elif name == "a":
             in_link = 0 if close else 1
@@ -159,4 +178,4 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     has_columns(pages, "page_id", "url", "html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extract_all, "page_id long, url string, text string, n_chars long")
+    return rows.transform(in_batches, _extract_all, "page_id long, url string, text string, n_chars long")
