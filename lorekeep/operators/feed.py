@@ -123,33 +123,29 @@ def _store(folder: str, name: str, text: str, sha: str, flag: str):
                     with open(partial, "wb") as f:
                         f.write(body.encode())
                     os.replace(partial, path)
-            yield batch.append_column(flag, pa.array(there, pa.bool_())) if hasattr(batch, "append_column") else pa.RecordBatch.from_arrays([*batch.columns, pa.array(there, pa.bool_())], names=[*batch.schema.names, flag])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(there, pa.bool_())], names=[*batch.schema.names, flag])
 
     return run
 
 
-def _logged(folder: str, custody: Custody) -> Column:
-    return F.concat(F.lit(folder.rstrip("/") + "/"), "name")
-
-
 def ingest(records: DataFrame, custody: Custody) -> tuple[DataFrame, DataFrame]:
     """Stores ``records``; returns receipts (kind, work_unit_id, cold_path, link_sha256, evidence_sha256, advisory, duplicate, hot_candidate_path) and refused records.
 
     A document that the log holds already, or that comes twice in a batch, is a duplicate: neither written nor logged again.
     """
     spark = records.sparkSession
-    rows = durable(evidence(records, custody.tag), "feed")
+    rows = durable(evidence(records, custody.tag).withColumn("n", F.monotonically_increasing_id()), "feed")
     good, refused = rows.where("problem is null"), rows.where("problem is not null").select(*FIELDS, "problem")
     known = log.read(spark, custody.manifest_dir).where("op = 'ingest'").select(F.col("sha256").alias("evidence_sha256"), F.lit(True).alias("duplicate")).distinct()
-    once = good.groupBy("evidence_sha256", "name").agg(*(F.first(c).alias(c) for c in ("document", "kind", "work_unit_id", "link_sha256", "emitted_by", "freshness")))
-    new = once.join(known.select("evidence_sha256"), "evidence_sha256", "left_anti")
+    once = good.groupBy("evidence_sha256", "name").agg(F.min("n").alias("first"), *(F.first(c).alias(c) for c in ("document", "kind", "work_unit_id", "link_sha256", "emitted_by", "freshness")))
+    once = durable(once, "once")
+    new = once.drop("first").join(known.select("evidence_sha256"), "evidence_sha256", "left_anti")
     names = [f"{n} {t}" for n, t in new.dtypes]
     written = durable(new.mapInArrow(_store(custody.cold_root, "name", "document", "evidence_sha256", "there"), ", ".join([*names, "there boolean"])), "written")
     cold = F.concat(F.lit(custody.cold_root.rstrip("/") + "/"), "name")
     _append(spark, written.where("not there").select("evidence_sha256", F.octet_length("document").alias("size"), cold.alias("dst"), reason(custody).alias("why")), "ingest", custody)
-    order = F.row_number().over(_first_in_batch()) > 1
-    out = good.join(known, "evidence_sha256", "left").join(written.select("evidence_sha256", "there"), "evidence_sha256", "left")
-    out = out.withColumn("duplicate", F.coalesce("duplicate", F.lit(False)) | F.coalesce("there", F.lit(False)) | order)
+    out = good.join(once.select("evidence_sha256", "first"), "evidence_sha256").join(known, "evidence_sha256", "left").join(written.select("evidence_sha256", "there"), "evidence_sha256", "left")
+    out = out.withColumn("duplicate", F.coalesce("duplicate", F.lit(False)) | F.coalesce("there", F.lit(False)) | (F.col("n") > F.col("first")))
     hot = F.lit(None).cast("string")
     if custody.candidate_root:
         drafts = candidates(good.dropDuplicates(["evidence_sha256"]))
@@ -165,12 +161,6 @@ def ingest(records: DataFrame, custody: Custody) -> tuple[DataFrame, DataFrame]:
     return receipts, refused
 
 
-def _first_in_batch():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("evidence_sha256").orderBy(F.monotonically_increasing_id())
-
-
 def _append(spark: SparkSession, rows: DataFrame, op: str, custody: Custody) -> None:
     now = F.lit(log.now_utc())
     log.append_batch(
