@@ -77,7 +77,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.at(path)
-        for part in slices(batches, "text", 6 << 20):
+        for part in slices(batches, "text", 4 << 20):
             ids, at = tokenizer.encode(part.column("text"), end_id)
             ids = ids.astype("<u4")
             row, start, length, crc = [], [], [], []

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, has_columns, in_batches, only, release, slices
+from .common import durable, has_columns, in_batches, release, slices
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -32,6 +32,8 @@ LOOSE = re.compile(r"(?<![A-Za-z0-9+_-])[A-Za-z0-9+_-]{20,}")
 WORDS = ("passw", "secret", "token", "api")
 PLACEHOLDER = re.compile(r"(?i)example|sample|changeme|placeholder|dummy|your[_-]?|x{4,}|\*{3,}|1234567|abcdef0|(.)\1{5,}")
 
+#: Spans of 16 bytes (and keys, which count as two) that may be broadcast: 16 MB at most.
+BROADCAST_SPANS = 1_000_000
 FOUND = "array<struct<s:long,k:int,e:long>>"
 CANDIDATES = "array<struct<s:long,k:int,e:long,h:string,random:boolean>>"
 
@@ -148,7 +150,8 @@ def redact(docs: DataFrame, repository: str = "doc_id", owner: str = "source", m
     cuts = found.select("row", "key").join(judged.where(F.size("cut") > 0).select("row", "cut"), "row")
     cuts = durable(cuts.groupBy(F.col("key").alias("_key")).agg(F.first("cut").alias("_cut")), "cuts")
     names, types = docs.columns, dict(docs.dtypes)
-    work = only(docs.withColumn("_key", _key()), cuts, "_key", "left")
+    spans = cuts.agg(F.sum(F.size("_cut") + 2)).first()[0] or 0
+    work = docs.withColumn("_key", _key()).join(F.broadcast(cuts) if spans <= BROADCAST_SPANS else cuts, "_key", "left")
     cut = work.where("_cut is not null").select(*names, "_cut")
     whole = work.where("_cut is null").select(*names)
     release(found)

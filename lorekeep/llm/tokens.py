@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from .common import words
 
 #: Entries of a worker's piece cache; a full cache is emptied, which costs time and no results.
-CACHE = 400_000
+CACHE = 300_000
 _LATIN = "a-zß-öø-ÿ"
 #: One piece of a plain word in lower case, with a space behind it.
 _PIECE, _SPACED = rf"('s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s0-9{_LATIN}]+)", r"\1 "
@@ -41,7 +41,8 @@ class WordTokenizer:
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
         self.letters = _byte_letters()
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.numbers = list(range(self.full.get_vocab_size()))  # one object for each id, shared by all cached pieces
 
     @classmethod
     def at(cls, path: str) -> WordTokenizer:
@@ -50,9 +51,10 @@ class WordTokenizer:
                 cls._made[path] = cls(path)
             return cls._made[path]
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> tuple[int, ...]:
         text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        ids = self.cache[piece] = [t.id for t in self.model.tokenize(text)]
+        numbers = self.numbers
+        ids = self.cache[piece] = tuple([numbers[t.id] for t in self.model.tokenize(text)])
         return ids
 
     def _words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +105,6 @@ def _expanded(pool: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.
     return pool[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])] if len(code) else np.empty(0, np.int64), ends
 
 
-def _gathered(each: list[list[int]], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(each: list[tuple[int, ...]], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, each), np.int64, len(each))
     return _expanded(np.fromiter(chain.from_iterable(each), np.int64, int(size.sum())), size, code)

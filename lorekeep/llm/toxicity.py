@@ -154,12 +154,14 @@ def _collect_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
-    """Fits on at most ``rows`` labelled rows (label 0 or 1) that aren't held out; copies count once, with their mean label."""
+    """Fits on at most ``rows`` labelled rows (label 0 or 1) that aren't held out; copies count once, with their mean label, and of texts with the same id the smallest."""
     has_columns(labels, "doc_id", "toxic")
     some = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)  # so many rows may be broadcast
+    some = some.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)  # so many rows may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(some), "doc_id").transform(in_batches, _collect_terms, "toxic int, terms array<int>").toArrow()
+    # One text for each labelled id, however many rows repeat it, so what reaches the driver is bounded too.
+    texts = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    got = texts.transform(in_batches, _collect_terms, "toxic int, terms array<int>").toArrow()
     by: dict[bytes, list] = {}
     for terms, y in zip(got.column("terms"), got.column("toxic").to_pylist()):
         x = terms.values.to_numpy(zero_copy_only=False)
