@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from ..storage import durable, only, release, shared_dir
 
 __all__ = ["durable", "grouped", "has_columns", "in_batches", "mix", "only", "release", "seed", "shared_dir", "slices", "words"]
-#: Rows that Spark hands to Python at once: texts of some kilobytes make batches of some megabytes, on both sides of the pipe.
-BATCH_ROWS = 2_000
+#: Rows that Spark hands to Python at once: texts of some kilobytes make batches of about a megabyte, on both sides of the pipe.
+BATCH_ROWS = 500
 
 
 def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -44,15 +44,28 @@ def seed(i: int) -> np.uint64:
     return np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches into runs of rows with about ``limit`` bytes of text; a longer text stands alone."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20, most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Joins and cuts batches into runs of at most ``limit`` bytes of text and ``most`` rows; a longer text stands alone."""
+    held: list[pa.RecordBatch] = []
+    full = rows = 0
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = (np.cumsum(size) - size) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                yield batch.slice(a, b - a)
+        start = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if rows and (full + n > limit or rows == most):
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                yield _joined(held)
+                held, full, rows, start = [], 0, 0, i
+            full += n
+            rows += 1
+        if batch.num_rows > start:
+            held.append(batch.slice(start))
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
 
 
 def words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -30,8 +30,8 @@ from ..operators.graph import components
 from .common import durable, grouped, has_columns, in_batches, mix, only, release, seed, slices, words
 
 MISS = 2e-6
-#: Shingles in one side of a block of a crowded bucket: 8 MB of hashes.
-BLOCK = 1_000_000
+#: Shingles in one side of a block of a crowded bucket: 4 MB of hashes.
+BLOCK = 500_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
