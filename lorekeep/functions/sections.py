@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..vocabulary import FLAGS as FLAGS_SAY
 from .text import stripped
 
 #: What ends a line.
 BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 _OPENS = rf"(?U)[[\s\x1c-\x1f]&&[^{BREAKS}]]*###? "
-FLAGS = "array<struct<rule:string,section:string,detail:string>>"
 
 
 def body(text: Column) -> Column:
@@ -50,9 +50,9 @@ def flags(text: Column, max_tokens: int = 850, max_chars: int = 3600) -> Column:
         tokens = F.floor(size / 4)
         flag = lambda rule, when, detail: F.when(when, F.struct(F.lit(rule).alias("rule"), label.alias("section"), detail.alias("detail")))
         return F.array(
-            flag("missing_leading_heading", ~opened & _has_content(part), F.lit("section has no leading H2/H3 heading")),
-            flag("over_est_tokens", tokens > max_tokens, F.concat(tokens.cast("string"), F.lit(f" est-tokens (chars/4) > {max_tokens}"))),
-            flag("over_chars", size > max_chars, F.concat(size.cast("string"), F.lit(f" chars > {max_chars}"))),
+            flag("missing_leading_heading", ~opened & _has_content(part), F.lit(FLAGS_SAY["missing_leading_heading"])),
+            flag("over_est_tokens", tokens > max_tokens, F.concat(tokens.cast("string"), F.lit(f"{FLAGS_SAY['over_est_tokens']}{max_tokens}"))),
+            flag("over_chars", size > max_chars, F.concat(size.cast("string"), F.lit(f"{FLAGS_SAY['over_chars']}{max_chars}"))),
         )
 
     return F.filter(F.flatten(F.transform(sections(text), of)), lambda x: x.isNotNull())

@@ -25,13 +25,13 @@ def findings(fm: Column, text: Column, required: Sequence[str] = REQUIRED, domai
     has_sources = F.array_contains(fm["filled"], "sources")
     checked = F.lit(True) if "sources" not in required else has_sources
     own = F.array(
-        *(if_(~F.array_contains(fm["filled"], f), "missing_field", F.lit(f"required field '{f}' absent or empty")) for f in required),
-        if_(checked & (fm["n_linked"] == 0), "missing_sha256_linkback", F.lit("no sources[].sha256 provenance link-back")),
-        if_((type_ != "") & T.lookup(type_, domains).isNull(), "unknown_type", F.concat(F.lit("type '"), type_, F.lit("' not in domain map"))),
-        if_(~has_title(body(text)), "missing_h1_title", F.lit("no H1 ('# Title') heading in body")),
+        *(if_(~F.array_contains(fm["filled"], f), "missing_field", F.lit(v.FINDINGS["missing_field"].format(f))) for f in required),
+        if_(checked & (fm["n_linked"] == 0), "missing_sha256_linkback", F.lit(v.FINDINGS["missing_sha256_linkback"])),
+        if_((type_ != "") & T.lookup(type_, domains).isNull(), "unknown_type", F.concat(F.lit(v.FINDINGS["unknown_type"][0]), type_, F.lit(v.FINDINGS["unknown_type"][1]))),
+        if_(~has_title(body(text)), "missing_h1_title", F.lit(v.FINDINGS["missing_h1_title"])),
     )
     shape = F.transform(flags(text, max_tokens, max_chars), lambda x: F.struct(F.concat(F.lit("chunk:"), x["rule"]).alias("rule"), F.concat(x["section"], F.lit(": "), x["detail"]).alias("detail")))
-    bad = F.array(hit("frontmatter_invalid", F.lit("missing or unparseable YAML frontmatter")))
+    bad = F.array(hit("frontmatter_invalid", F.lit(v.FINDINGS["frontmatter_invalid"])))
     return F.when(~fm["ok"], bad).otherwise(F.filter(F.concat(own, shape), lambda x: x.isNotNull()))
 
 
@@ -41,9 +41,9 @@ def surface(files: DataFrame, *, oversize: int = 51_200, threshold: float = 0.6,
     fine = files.where("error is null").withColumn("fm", frontmatter.parsed(F.col("text")))
     each = fine.select("path", F.explode(findings(F.col("fm"), F.col("text"), **limits)).alias("x")).select("path", "x.rule", "x.detail")
     unread = files.where("error is not null").select("path", F.lit("read_error"), "error")
-    large = files.where(F.col("size") > oversize).select("path", F.lit("oversize"), F.concat(F.col("size").cast("string"), F.lit(f" bytes > {oversize}")))
+    large = files.where(F.col("size") > oversize).select("path", F.lit("oversize"), F.concat(F.col("size").cast("string"), F.lit(f"{v.FINDINGS['oversize']}{oversize}")))
     near = neardup.clusters(fine, threshold, prefixes=prefixes, generic=generic)
-    near = near.groupBy("cluster").agg(F.sort_array(F.collect_list("path")).alias("p")).select("cluster", F.lit("near_duplicate"), F.concat(F.lit("near-dup cluster: "), F.array_join("p", ", ")))
+    near = near.groupBy("cluster").agg(F.sort_array(F.collect_list("path")).alias("p")).select("cluster", F.lit("near_duplicate"), F.concat(F.lit(v.FINDINGS["near_duplicate"]), F.array_join("p", ", ")))
     return each.unionAll(unread).unionAll(large).unionAll(near)
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import vocabulary as v
 from ..functions import text as T
 from ..sources import log
 from ..storage import durable
@@ -75,7 +76,7 @@ def evidence(records: DataFrame, tag: str = TAG) -> DataFrame:
     document = F.concat(
         F.lit('{\n  "advisory": true,\n  "custody_note": '), t(note), F.lit(',\n  "emitted_by": '), t("emitted_by"), F.lit(',\n  "freshness": '), t("freshness"),
         F.lit(',\n  "is_truth_source": false,\n  "kind": '), t("kind"), F.lit(',\n  "produced_at": '), t("produced_at"), F.lit(f',\n  "schema": "{tag}",\n  "source_ref": '), t("source_ref"),
-        F.lit(',\n  "sources": [\n    {\n      "ref": '), t("source_ref"), F.lit(',\n      "role": "substrate-authoritative-record",\n      "sha256": "'), link,
+        F.lit(',\n  "sources": [\n    {\n      "ref": '), t("source_ref"), F.lit(',\n      "role": "' + v.EVIDENCE_ROLE + '",\n      "sha256": "'), link,
         F.lit('"\n    }\n  ],\n  "summary": '), t("summary"), F.lit(',\n  "work_unit_id": '), t("work_unit_id"), F.lit("\n}\n"),
     )
     rows = rows.withColumns({"link_sha256": link, "document": document}).withColumn("evidence_sha256", T.sha(F.col("document")))
@@ -91,7 +92,7 @@ def file_name(sha: Column, ext: str) -> Column:
 def reason(custody: Custody) -> Column:
     given = lambda label, c: F.when(c != "", F.concat(F.lit(label + "="), c))
     return F.concat_ws(
-        "; ", F.concat(F.lit("advisory ingested feed evidence: kind="), "kind"), F.concat(F.lit("work_unit="), "work_unit_id"), F.concat(F.lit("link="), "link_sha256"), given("emitted_by", F.col("emitted_by")),
+        "; ", F.concat(F.lit(v.REASONS["evidence"]), "kind"), F.concat(F.lit("work_unit="), "work_unit_id"), F.concat(F.lit("link="), "link_sha256"), given("emitted_by", F.col("emitted_by")),
         given("received_from", F.lit(custody.received_from)), given("received_at", F.lit(custody.received_at)), given("freshness", F.col("freshness")),
     )
 
@@ -129,7 +130,7 @@ def _store(folder: str, name: str, text: str, sha: str, flag: str):
 
 
 def ingest(records: DataFrame, custody: Custody) -> tuple[DataFrame, DataFrame]:
-    """Stores ``records``; returns receipts (kind, work_unit_id, cold_path, link_sha256, evidence_sha256, advisory, duplicate, hot_candidate_path) and refused records.
+    """Stores ``records``; returns receipts (kind, work_unit_id, cold_path, link_sha256, evidence_sha256, advisory, duplicate, hot_candidate_path, place: in order of the records) and refused records.
 
     A document that the log holds already, or that comes twice in a batch, is a duplicate: neither written nor logged again.
     """
@@ -153,11 +154,11 @@ def ingest(records: DataFrame, custody: Custody) -> tuple[DataFrame, DataFrame]:
         types = ", ".join(f"{n} {t}" for n, t in drafts.dtypes)
         staged = durable(drafts.mapInArrow(_store(custody.candidate_root, "candidate_name", "candidate", "candidate_sha256", "staged"), types + ", staged boolean"), "staged")
         path = F.concat(F.lit(custody.candidate_root.rstrip("/") + "/"), "candidate_name")
-        why = F.concat(F.lit("advisory UNGATED hot candidate: kind="), "kind", F.lit("; work_unit="), "work_unit_id", F.lit("; link="), "link_sha256", F.lit("; not promoted (never a truth source)"))
+        why = F.concat(F.lit(v.REASONS["candidate"]), "kind", F.lit("; work_unit="), "work_unit_id", F.lit("; link="), "link_sha256", F.lit(v.REASONS["candidate_end"]))
         _append(spark, staged.where("not staged").select(F.col("candidate_sha256").alias("evidence_sha256"), F.octet_length("candidate").alias("size"), path.alias("dst"), why.alias("why")), "ingest-hot-candidate", custody)
         out = out.join(staged.select("evidence_sha256", path.alias("hot")), "evidence_sha256", "left")
         hot = F.col("hot")
-    receipts = out.select("kind", "work_unit_id", cold.alias("cold_path"), "link_sha256", "evidence_sha256", F.lit(True).alias("advisory"), "duplicate", hot.alias("hot_candidate_path"))
+    receipts = out.select("kind", "work_unit_id", cold.alias("cold_path"), "link_sha256", "evidence_sha256", F.lit(True).alias("advisory"), "duplicate", hot.alias("hot_candidate_path"), F.col("n").alias("place"))
     return receipts, refused
 
 
@@ -179,4 +180,4 @@ def ingest_records(spark: SparkSession, records: list, custody: Custody) -> list
     rows = spark.createDataFrame([tuple(None if r.get(f) is None else str(r.get(f)) for f in FIELDS) for r in records], SCHEMA)
     if bad := evidence(rows, custody.tag).where("problem is not null").first():
         raise FeedError(f"record of work unit {bad['work_unit_id']!r}: {bad['problem']}")
-    return [r.asDict() for r in ingest(rows, custody)[0].collect()]
+    return [r.asDict() for r in ingest(rows, custody)[0].orderBy("place").drop("place").collect()]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import vocabulary as v
 from ..config import EngineConfig, PackRequest
 from ..functions import text as T
 from . import recall as R
@@ -83,7 +84,7 @@ def admitted(hits: DataFrame, most: str = "internal") -> DataFrame:
     top = most.strip().lower() if most.strip().lower() in T.LEVELS else "internal"
     rows = hits.withColumn("level", T.level(F.col("admissibility")))
     ok = T.level_rank(F.col("level")) <= T.LEVELS.index(top)
-    return rows.withColumns({"admitted": ok, "exclusion": F.when(~ok, F.concat(F.lit("Excluded `"), F.coalesce("path", F.lit("?")), F.lit("` because admissibility "), "level", F.lit(f" exceeds max {top}.")))})
+    return rows.withColumns({"admitted": ok, "exclusion": F.when(~ok, F.concat(F.lit(v.EXCLUDED[0]), F.coalesce("path", F.lit("?")), F.lit(v.EXCLUDED[1]), "level", F.lit(f"{v.EXCLUDED[2]}{top}.")))})
 
 
 def within_caps(hits: DataFrame, hot: int, cold: int) -> DataFrame:
@@ -120,7 +121,7 @@ def render(*, project: str, role_name: str, task: str, objective: str, hot: Sequ
         "Verification requirements": bullets(spec.verification), "Next action": spec.next_action.format(task=task, project=project),
     }
     head = f"# Context Pack — {project} / {role_name}\n\n> A view of governed memory for one role. Sources are identified by sha256; paths are hints. Leave the raw corpus closed unless this pack says otherwise.\n"
-    return "\n".join([head, *(f"## {k}\n\n{v}\n" for k, v in parts.items())]).rstrip() + "\n"
+    return "\n".join([head, *(f"## {k}\n\n{x}\n" for k, x in parts.items())]).rstrip() + "\n"
 
 
 def compile_pack(spark: SparkSession, request: PackRequest, *, config: EngineConfig | None = None, runner: R.Runner | None = None, results: dict | None = None, hits: DataFrame | None = None, weak_hot: bool | None = None) -> str:
