@@ -120,11 +120,11 @@ def excluded(relative: Column, globs: Sequence[str]) -> Column:
     wanted = [w for g in globs for w in ((g, g[3:]) if g.startswith("**/") else (g,))]
     if not wanted:
         return F.lit(False)
-    # Java has no \Z of Python's kind, nor its atomic spelling of *.
-    return F.lit(False) | relative.rlike("|".join(f"(?:^(?s:{re.sub(r'\\[zZ]$', '', _java(w))})\\z)" for w in wanted))
+    return F.lit(False) | relative.rlike("|".join(f"(?:^(?s:{_java(w)})\\z)" for w in wanted))
 
 
 def _java(glob: str) -> str:
+    """A shell pattern as a Java one."""
     out, i = "", 0
     while i < len(glob):
         c = glob[i]
