@@ -1,0 +1,22 @@
+"""The queries that SQL can express against DuckDB."""
+
+import duckdb
+import pytest
+
+from lorekeep.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.queries()[name](spark, sf)
+    got = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in got.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in df.select(*columns).collect()) == sorted(got.fetchall())
+
+
+def test_ten_queries():
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
