@@ -1,10 +1,13 @@
 """Nearest neighbours by an inverted file of coarse centroids with product-quantised residuals.
 
-Centroids and code books are fitted on the driver from a bounded sample (FIT_ROWS); every row is indexed. A query reads the lists nearest to it,
+Centroids and code books are fitted on the driver from a bounded sample of distinct vectors (FIT_ROWS); every row is indexed. A query reads the lists nearest to it,
 until they hold a share of all rows that is measured: the least that found RECALL of the sample's own nearest neighbours (clustered vectors need
 few lists, vectors without structure most of them), and as many rows as it must return. Lists and the queries that read them are cut into chunks of bounded size that meet
-in one task: asymmetric distance tables rank a chunk's codes, the best RERANK of it are measured exactly on
-the original vectors, and the ten nearest of each chunk go on to the query's final ranking.
+in one task: asymmetric distance tables rank a chunk's codes, the best RERANK of it, and all that tie with the last of them, are measured
+exactly on the original vectors, and the k nearest rows of each chunk go on to the query's final ranking.
+
+Equal vectors are one class: it is indexed once, and carries the smallest of its ids, as many as any query can return. So copies
+neither fill a list nor are torn apart by a cut or by rounding.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ from pyspark.sql import functions as F
 from .common import durable, grouped, has_columns, in_batches
 from .polytope import read_vectors
 
-#: Rows that centroids and code books are fitted on: those whose hashed ids are smallest.
+#: Distinct vectors that centroids and code books are fitted on: those whose hashed ids are smallest.
 FIT_ROWS = 20_000
 MAX_LISTS = 4096
 #: Share of the sample's nearest neighbours that the lists read must hold, rows of the sample that ask for theirs, and share of a chunk that is measured exactly.
 RECALL, ASKING, RERANK = 0.97, 500, 0.25
 SUBSPACES, CODES = 16, 256
-#: Rows of a list, and queries, in one task's chunk.
+#: Classes of a list, and queries, in one task's chunk.
 CHUNK, QUERIES = 4096, 1024
 
 
@@ -103,6 +106,15 @@ def _valid(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, np.int64), np.stack([vectors[i] for i in rows]) if rows else np.empty((0, dim))
 
 
+def classes(vectors: DataFrame, k: int) -> DataFrame:
+    """embedding, vec_id (the smallest) and ids of each class of equal vectors: its k + 1 smallest ids (one may be the query's own), each as often as it stands there, up to k times."""
+    one = vectors.groupBy("embedding", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    # The limit of a window holds before its shuffle as well, so a large class is no large group.
+    few = one.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("t"))
+    return few.select("embedding", F.col("t")[0]["vec_id"].alias("vec_id"), F.flatten(F.transform("t", lambda r: F.array_repeat(r["vec_id"], r["n"]))).alias("ids"))
+
+
 def _assign(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +123,8 @@ def _assign(index: Index):
                 rows, x = _valid(part.column("embedding"), index.centre.shape[1])
                 at, code = index.encode(x) if len(rows) else (rows, np.empty((0, len(index.books)), np.uint8))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id").take(pa.array(rows)), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(list(x), pa.list_(pa.float64()))],
-                    names=["vec_id", "list", "code", "x"],
+                    [part.column("vec_id").take(pa.array(rows)), part.column("ids").take(pa.array(rows)), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(list(x), pa.list_(pa.float64()))],
+                    names=["vec_id", "ids", "list", "code", "x"],
                 )
 
     return run
@@ -147,6 +159,8 @@ def _search(index: Index, k: int):
         out: list[tuple[np.ndarray, ...]] = []
         if len(qs) and len(ms):
             code = np.frombuffer(b"".join(group.column("code").take(pa.array(ms)).to_pylist()), np.uint8).reshape(len(ms), -1).astype(np.int64)
+            held = group.column("ids").take(pa.array(ms)).combine_chunks()
+            named, owner = held.flatten().to_numpy(), np.repeat(np.arange(len(ms)), held.value_lengths().to_numpy())
             member, centre = x[ms], index.centre[group.column("list")[0].as_py()]
             # One more than asked for: the query itself may be among them.
             many = min(len(ms), max(4 * k, int(RERANK * len(ms))) + 1)
@@ -155,11 +169,12 @@ def _search(index: Index, k: int):
                 part = qs[a : a + 64]
                 for q, table in zip(part, index.tables(x[part] - centre)):
                     near = table[column, code].sum(axis=1)
-                    best = np.argpartition(near, many - 1)[:many] if many < len(ms) else np.arange(len(ms))
-                    best = best[ids[ms[best]] != ids[q]]
-                    d = exact(x[q], member[best])
-                    top = np.lexsort((ids[ms[best]], d))[:k]
-                    out.append((np.full(len(top), ids[q]), ids[ms[best[top]]], d[top]))
+                    best = near <= np.partition(near, many - 1)[many - 1]
+                    d = np.full(len(ms), np.inf)
+                    d[best] = exact(x[q], member[best])
+                    rows = np.flatnonzero(best[owner] & (named != ids[q]))
+                    top = rows[np.lexsort((named[rows], d[owner[rows]]))[:k]]
+                    out.append((np.full(len(top), ids[q]), named[top], d[owner[top]]))
         cat = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"query_id": pa.array(cat[0], pa.int64()), "vec_id": pa.array(cat[1], pa.int64()), "score": pa.array(cat[2], pa.float64())})
 
@@ -175,7 +190,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     has_columns(vectors, "vec_id", "embedding")
     clean = lambda df: df.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    vectors, queries = clean(vectors), clean(queries)
+    vectors, queries = durable(classes(clean(vectors), k), "classes"), clean(queries)
     sample, _ = read_vectors(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toArrow().column("embedding"))
     sample = [x for x in sample if x is not None]
     schema = "query_id long, rank int, vec_id long, score double"
@@ -185,12 +200,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     sample = np.stack([x for x in sample if len(x) == widths.argmax()])
     index = build(sample, min(MAX_LISTS, max(1, round(vectors.count() ** 0.5))))
     share = probe_share(index, sample, k) if len(sample) > 1 else 1.0
-    members = durable(vectors.transform(in_batches, _assign(index), "vec_id long, list int, code binary, x array<double>"), "members")
+    assigned = "vec_id long, ids array<long>, list int, code binary, x array<double>"
+    members = durable(vectors.transform(in_batches, _assign(index), assigned), "members")
     sizes = np.zeros(len(index.centre))
     for r in members.groupBy("list").count().collect():  # at most MAX_LISTS rows
         sizes[r["list"]] = r["count"]
-    asking = queries.dropDuplicates(["vec_id"]).transform(in_batches, _assign(index), "vec_id long, list int, code binary, x array<double>")
-    # Its own row may stand in the lists, so one more than k.
+    asking = queries.dropDuplicates(["vec_id"]).withColumn("ids", F.lit(None).cast("array<long>")).transform(in_batches, _assign(index), assigned)
+    # Its own row may stand in the lists, so one more than k; each class has a row at least.
     probes = durable(asking.select("vec_id", "x").transform(in_batches, _probe(index, sizes, max(share * sizes.sum(), k + 1)), "vec_id long, x array<double>, list int"), "probes")
     asked = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
     parts = F.create_map(*(F.lit(v) for at in range(len(sizes)) for v in (at, max(1, -(-int(sizes[at]) // CHUNK)))))
@@ -200,7 +216,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     right = probes.withColumn("turn", F.pmod(F.xxhash64("vec_id"), turns[F.col("list")]).cast("int"))
     right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), parts[F.col("list")] - 1)))
     names = ["list", "chunk", "turn", "vec_id", "x"]
-    both = left.select(*names, "code", F.lit(False).alias("asked")).unionAll(right.select(*names, F.lit(None).cast("binary").alias("code"), F.lit(True).alias("asked")))
+    both = left.select(*names, "code", "ids", F.lit(False).alias("asked")).unionAll(right.select(*names, F.lit(None).cast("binary").alias("code"), F.lit(None).cast("array<long>").alias("ids"), F.lit(True).alias("asked")))
     found = grouped(both, ["list", "chunk", "turn"], _search(index, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

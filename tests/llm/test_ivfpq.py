@@ -45,3 +45,41 @@ def test_edge_cases(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 2, 1.0)]
     assert ivfpq.search(df.limit(0), df, 10).collect() == []
     assert ivfpq.search(df, df.limit(0), 10).collect() == []
+
+
+def answers(got):
+    out = {}
+    for r in sorted(got, key=lambda r: r.rank):
+        out.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    return out
+
+
+def test_copies_keep_the_smallest_ids(spark):
+    """A third of all rows are one vector: who lies in or next to it gets the copies with the smallest ids."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16))
+    copies = np.arange(0, 1500, 3)
+    x[copies] = x[0]
+    near = x[0] + 1e-3 * rng.normal(size=(3, 16))
+    x[[1, 4, 7]] = near
+    ids = rng.permutation(1500).tolist()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(7)
+    asked = [ids[j] for j in (0, 3, 300, 1497, 1, 4, 7)]
+    got = answers(ivfpq.search(df, df.where(f"vec_id in ({', '.join(map(str, asked))})"), 10).collect())
+    for q in asked:
+        assert got[q] == brute(x, ids, q, 10)
+
+
+def test_ties_at_the_cut_are_measured():
+    """Different vectors with one code tie at the cut; the nearest of them must not depend on their order."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([1 + 1e-6 * rng.normal(size=(400, 8)), [[1.0] * 8]])
+    index = ivfpq.Index(np.zeros((1, 8)), [np.array([[1.0] * 4, [5.0] * 4])] * 2, [0, 4, 8])
+    code = index.encode(x)[1]
+    want = np.argsort(ivfpq.exact(x[400], x[:400]))[:10]
+    for order in (np.arange(400), np.arange(400)[::-1]):
+        rows = [*order.tolist(), 400]
+        group = {"list": [0] * 401, "vec_id": rows, "x": x[rows].tolist(), "code": [code[i].tobytes() for i in order] + [None], "asked": [False] * 400 + [True], "ids": [[i] for i in order.tolist()] + [None]}
+        group["x"] = ivfpq.pa.array(group["x"], ivfpq.pa.list_(ivfpq.pa.float64()))
+        found = ivfpq._search(index, 10)(ivfpq.pa.table(group))
+        assert found.column("vec_id").to_pylist() == want.tolist()
