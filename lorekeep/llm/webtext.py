@@ -4,7 +4,11 @@ A page becomes a list of lines, one for each block element's text, without scrip
 never hold an article; where such a part, or one marked as a menu, advert, notice or the like, has been left out, blank lines stand, so
 it separates what is before it from what is behind it, unless both belong to the same element: an advert amid an article doesn't end it. Text inside links doesn't count towards a line's length. The lengths
 are summed over sliding windows of WINDOW lines: a surge is a window over SURGE code points behind an empty line, a dive is where
-all lines of a window are empty. The text between surges and dives is kept; an article or main element, if there is one, bounds it.
+all lines of a window are empty. The text between surges and dives is kept, and so is a short block right in an element that holds
+such text; an article or main element, if there is one, bounds it.
+
+A name may tell how or where an element stands and not what it holds ("content-header-fixed", "widget"). If parts with such names hold
+more than what is left without them, they are no side parts, and their text is read too.
 """
 
 from __future__ import annotations
@@ -38,31 +42,38 @@ NAMES = frozenset(
 )
 #: Words that turn a compound name into a state of what surrounds such a part ("has-sidebar").
 STATES = frozenset("closed disabled enabled has is layout no open with without".split())
+#: Names, and words of compound names, that may stand on an element around an article.
+LOOSE = frozenset("modal overlay popup widget".split())
+LOOSE_PARTS = LOOSE | frozenset("banner bottom foot footer header masthead menu nav navbar sidebar toolbar".split())
 #: Code points that text in wholly marked pages must have to be taken for an article.
 ARTICLE = 600
 SPLIT = re.compile(r"[\s_]+")
 PARTS = re.compile(r"-+|(?<=[a-z])(?=[A-Z])")
 
 
-def unwanted(attributes: str) -> bool:
-    """True if a class, id, role or label names a part that is no article."""
+def unwanted(attributes: str, loose: bool = True) -> bool:
+    """True if a class, id, role or label names a part that is no article; names that tell only a place or look count if ``loose``."""
     for m in MARKED.finditer(attributes):
         for name in SPLIT.split(m[1] or m[2] or m[3] or ""):
             parts = {p.lower() for p in PARTS.split(name)}
-            if name.lower() in NAMES or parts & NAMES and not parts & STATES:
-                return True
+            exact = name.lower() in NAMES
+            if exact or parts & NAMES and not parts & STATES:
+                if loose or (name.lower() not in LOOSE if exact else not parts & NAMES <= LOOSE_PARTS):
+                    return True
     return False
 
 
-def lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
+def lines(page: str, by_name: bool = True, loose: bool = True) -> tuple[list[tuple[str, int, bool]], list[int], list[int]]:
     """(text, code points outside links, inside an article or main element) of each block; ('', 0, ...) where a part is left out.
+    Then the number of the element around each block, and the number of the one around each element (0: none).
 
-    Parts are left out by their element, and by their names too unless ``by_name`` is false.
+    Parts are left out by their element, and by their names too unless ``by_name`` is false, by loose names only if ``loose``.
     """
     out: list[tuple[str, int, bool]] = []
     inner: list[int] = []  # the element around each line
     around: list[tuple[str, int]] = []
     opened = 0
+    parent = [0]
     page = RAW.sub(" ", page)
     text: list[str] = []
     linked = 0
@@ -108,7 +119,7 @@ def lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
             end()
         elif name == "br" or name in ("td", "th"):
             text.append(" ")
-        if not close and name not in VOID and (name in LEFT_OUT or (by_name and name not in ("body", "html", "main") and attributes and unwanted(attributes))):
+        if not close and name not in VOID and (name in LEFT_OUT or (by_name and name not in ("body", "html", "main") and attributes and unwanted(attributes, loose))):
             end()
             out += [("", 0, inside > 0)] * WINDOW
             inner += [-1] * WINDOW
@@ -118,6 +129,7 @@ def lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
         if name in AROUND:
             if not close:
                 opened += 1
+                parent.append(around[-1][1] if around else 0)
                 around.append((name, opened))
             elif any(x[0] == name for x in around):
                 while around.pop()[0] != name:
@@ -129,19 +141,24 @@ def lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
     if not skip:
         text.append(page[at:])
     end()
-    return out
+    return out, inner, parent
 
 
 def main_text(page: str) -> str:
-    text = _between(lines(page))
+    found = lines(page)
+    text = _between(*found)
+    if not any(x[2] and x[0] for x in found[0]):  # no article or main element
+        more = _between(*lines(page, loose=False))
+        if len(more) > 2 * len(text):
+            text = more
     if not text:  # a name may stand on an element around everything; then only elements tell parts apart
-        text = _between(lines(page, by_name=False))
+        text = _between(*lines(page, by_name=False))
         text = text if len(text) >= ARTICLE else ""
     return text
 
 
-def _between(found: list[tuple[str, int, bool]]) -> str:
-    """The text between surges and dives."""
+def _between(found: list[tuple[str, int, bool]], inner: list[int], parent: list[int]) -> str:
+    """The text between surges and dives, and short blocks right in an element that holds some of it."""
     if any(x[2] and x[0] for x in found):
         found = [x if x[2] else ("", 0, False) for x in found]
         size = [len(x[0]) for x in found]
@@ -151,17 +168,21 @@ def _between(found: list[tuple[str, int, bool]]) -> str:
         surge = SURGE
     n = len(found)
     window = [sum(size[i : i + WINDOW]) for i in range(n)]
-    kept: list[str] = []
+    kept = [False] * n
     i = 0
     while i < n:
         if size[i] and window[i] >= surge:
             while i < n and window[i]:  # up to the dive
-                if found[i][0]:
-                    kept.append(found[i][0])
+                kept[i] = bool(found[i][0])
                 i += 1
         else:
             i += 1
-    return "\n\n".join(kept)
+    holds: set[int] = set()
+    for own in (inner[i] for i in range(n) if kept[i]):
+        while own not in holds:
+            holds.add(own)
+            own = parent[own]
+    return "\n\n".join(found[i][0] for i in range(n) if kept[i] or size[i] and inner[i] in holds)
 
 
 def _extract_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,3 +57,18 @@ def test_edge_cases(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in webtext.extract(df).collect()) == [(0, "", 0), (1, "", 0), (2, LONG, len(LONG)), (2, LONG, len(LONG))]
     assert webtext.extract(df.limit(0)).collect() == []
+
+
+def test_loose_names_around_an_article():
+    assert main_text(f'<div class="widget"><p>{LONG}</p></div>') == LONG
+    assert main_text(f'<div class="content-header-fixed"><h1>T</h1><p>{LONG}</p></div>') == f"T\n\n{LONG}"
+    body = "".join(f"<p>{LONG}</p>" for _ in range(50))
+    page = f'<p>A teaser outside that is long enough to be kept</p><div class="content sidebar-left">{body}<div class="sidebar">{LONG}</div><div class="comments-area">{body}</div></div>'
+    assert main_text(page).count(LONG) == 50
+    assert main_text(f'<div>{body}</div><div class="widget">{LONG}</div><div class="site-footer">{LONG}</div>').count(LONG) == 50
+    assert main_text(f'<div><p>{LONG}</p></div><div class="comments-area">{body}</div>') == LONG
+
+
+def test_short_blocks_beside_the_article():
+    assert main_text(f"<body><div><h1>Title</h1><nav>x</nav><div><p>{LONG}</p></div><nav>x</nav><p>The end.</p></div></body>") == f"Title\n\n{LONG}\n\nThe end."
+    assert main_text(f"<div>Home</div><nav>x</nav><div><p>{LONG}</p></div><nav>x</nav><div><a href=/>{LONG}</a></div>") == LONG
