@@ -8,6 +8,7 @@ same turns and the loss mask back from the written form.
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,19 +97,35 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
+def row_fingerprint(paths: tuple[str, ...]) -> int:
+    """The fingerprint of a record with these field paths, as Spark's xxhash64 gives it."""
+    return (xxhash.xxh64_intdigest(_sql_schema(paths).encode(), seed=42) + 2**63) % 2**64 - 2**63
+
+
+ROW_PRINTS = {row_fingerprint(p): m for p, m in ROW_LAYOUTS.items()}
+
+
+def canonical_rows(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text of a table with a row for each turn; the fingerprint of its field paths selects the mapping.
+
+    A table with further columns, whose own fingerprint is unknown, has the mapping whose paths are all there.
+    """
+    paths = field_paths(rows.schema)
+    mapping = ROW_PRINTS.get(row_fingerprint(tuple(paths))) or next((m for p, m in ROW_LAYOUTS.items() if set(paths) >= set(p)), None)
+    if mapping is None:
+        raise ValueError(f"no mapping for a table of {sorted(paths)}")
+    conv, order, role, text = (F.col(c) for c in mapping)
+    return rows.select(conv.cast("long").alias("conv_id"), order.cast("long").alias("turn"), role.cast("string").alias("role"), text.cast("string").alias("text"))
+
+
 def turns_from_rows(rows: DataFrame) -> DataFrame:
     """conv_id and turns (in order; ties by role and text) of a table with a row for each turn, whose field paths select the mapping.
 
     Further columns don't matter as long as one mapping's paths are there. Null roles and texts are empty, rows with a null place come first,
     and rows with a null conversation are one conversation.
     """
-    paths = set(field_paths(rows.schema))
-    mapping = next((m for p, m in ROW_LAYOUTS.items() if paths >= set(p)), None)
-    if mapping is None:
-        raise ValueError(f"no mapping for a table of {sorted(paths)}")
-    conv, order, role, text = (F.col(c) for c in mapping)
-    turn = F.struct(order.cast("long").alias("turn"), F.coalesce(role.cast("string"), F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-    all_ = rows.groupBy(conv.cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    all_ = canonical_rows(rows).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
     return all_.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 

@@ -49,7 +49,7 @@ def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(chat.probe(spark))
+    rows = chat.canonical_rows(table(spark, sf_dir, "conversations")).unionAll(chat.probe(spark))
     return chat.digests(chat.format_rows(rows))
 
 

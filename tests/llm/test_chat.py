@@ -77,3 +77,16 @@ def test_layouts_are_found_by_fingerprint(spark):
 def test_row_layouts(spark):
     df = spark.createDataFrame([(5, 2, "gpt", "b"), (5, 1, "human", "a")], "id long, position int, `from` string, value string")
     assert [tuple(t) for t in chat.turns_from_rows(df).first().turns] == [("human", "a"), ("gpt", "b")]
+
+
+def test_fingerprint_selects_the_mapping_of_a_table(spark, monkeypatch, tmp_path):
+    for paths in chat.ROW_LAYOUTS:
+        record = spark.createDataFrame([(json.dumps(dict.fromkeys(paths, "x")),)], "record string").select(F.parse_json("record").alias("v"))
+        assert record.select(chat.fingerprint(F.col("v"))).first()[0] == chat.row_fingerprint(paths)
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "ho")]
+    spark.createDataFrame(rows, "id long, position long, `from` string, value string").write.parquet(f"{tmp_path}/conversations.parquet")
+    # A registered print without a mapping of columns: only the hash can find it.
+    paths = ("from", "id", "position", "value")
+    monkeypatch.setattr(chat, "ROW_LAYOUTS", {k: v for k, v in chat.ROW_LAYOUTS.items() if k != paths})
+    out = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op9_chat(spark, str(tmp_path)).collect()}
+    assert out[1] == want(rows)[1]
