@@ -1,9 +1,11 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
-A hash rotates a vector by three rounds of random signs and a fast Hadamard transform and takes the closest signed axis. Each of
-TABLES tables joins HASHES of them; a vector is stored under its own code and under the PROBES codes next in line (those whose
-axes lose least), and two vectors meet in a bucket that is the own code of at least one. With 3 hashes, 24 tables and 4 probes two
-64-dimensional vectors at a cosine of 0.9 fail to meet with a probability of about 1e-5, closer ones far less.
+A hash rotates a vector by three rounds of random signs and a fast Hadamard transform and takes the closest signed axis. Each
+table joins HASHES of them; a vector is stored under its own code and under the PROBES codes next in line (those whose
+axes lose least), and two vectors meet in a bucket that is the own code of at least one. So many
+tables are made that two vectors in random directions right at the threshold fail to meet with a probability below MISS, closer ones far less: how
+often they meet in one table is measured for the threshold and each width. For 64 dimensions and a cosine of 0.9 these are 24.
+A threshold that asks for more than MOST tables is refused.
 
 Equal vectors are one class with a weight. Buckets of two whose sign sketches already rule out the threshold fall away; the others
 are cut into blocks of bounded size, and each block computes exact cosines in double precision. A pair that meets in
@@ -27,6 +29,8 @@ from ..operators.graph import components
 from .common import durable, grouped, has_columns, in_batches
 
 HASHES, TABLES, PROBES = 3, 24, 4
+#: Probability that a pair at the threshold never meets, and the most tables made for it; TABLES are the least.
+MISS, MOST = 2e-5, 256
 #: Vectors in one side of a block.
 BLOCK = 2048
 #: Axes of each hash that a probe may take.
@@ -44,20 +48,49 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def signs(dim: int) -> np.ndarray:
-    return np.random.default_rng(20).choice([-1.0, 1.0], size=(TABLES, HASHES, 3, dim))
+def signs(dim: int, tables: int) -> np.ndarray:
+    return np.random.default_rng(20).choice([-1.0, 1.0], size=(tables, HASHES, 3, dim))
 
 
-def codes(x: np.ndarray) -> np.ndarray:
-    """(rows, TABLES, 1 + PROBES) bucket keys; the first of each table is the vector's own."""
+def padded(width: int) -> int:
+    return 1 << max(2, (width - 1).bit_length())
+
+
+def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows, tables): whether the vectors of two code arrays meet."""
+    return (b == a[:, :, :1]).any(axis=2) | (a == b[:, :, :1]).any(axis=2)
+
+
+def pairs_at(cosine: float, dim: int, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` pairs of unit vectors in random directions at a cosine."""
+    a, b = unit(rng.normal(size=(n, dim))), rng.normal(size=(n, dim))
+    b = unit(b - (a * b).sum(axis=1)[:, None] * a)
+    return a, cosine * a + math.sqrt(1 - cosine * cosine) * b
+
+
+@lru_cache(maxsize=64)
+def tables_for(cosine: float, dim: int) -> int:
+    """Tables that let a pair at the threshold miss with a probability below MISS."""
+    a, b = pairs_at(max(-1.0, min(1.0, cosine)), dim, max(200, 2000 * 64 // max(dim, 64)), np.random.default_rng(22))
+    met = meet(codes(a, TABLES), codes(b, TABLES))
+    # Three deviations less than measured.
+    rate = met.mean() - 3 * math.sqrt(met.mean() * (1 - met.mean()) / met.size)
+    needed = TABLES if rate >= 1 else math.ceil(math.log(MISS) / math.log1p(-rate)) if rate > 0 else math.inf
+    if needed > MOST:
+        raise ValueError(f"a cosine of {cosine} at {dim} dimensions asks for more than {MOST} tables for a miss below {MISS}")
+    return max(TABLES, needed)
+
+
+def codes(x: np.ndarray, tables: int) -> np.ndarray:
+    """(rows, tables, 1 + PROBES) bucket keys; the first of each table is the vector's own."""
     n, width = x.shape
-    dim = 1 << max(2, (width - 1).bit_length())
+    dim = padded(width)
     x = np.pad(x, ((0, 0), (0, dim - width)))
-    out = np.empty((n, TABLES, 1 + PROBES), np.int64)
+    out = np.empty((n, tables, 1 + PROBES), np.int64)
     combos = list(product(range(NEXT), repeat=HASHES))
-    for t in range(TABLES):
+    for t in range(tables):
         value, axis = [], []
-        for s in signs(dim)[t]:
+        for s in signs(dim, tables)[t]:
             y = hadamard(hadamard(hadamard(x * s[0]) * s[1]) * s[2])
             size = np.abs(y)
             best = np.empty((n, NEXT), np.int64)
@@ -105,29 +138,32 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 2000):
-            part = batch.slice(a, 2000)
-            vectors, ok = read_vectors(part.column("embedding"))
-            n = part.num_rows
-            digest = np.zeros((n, 2), np.int64)
-            bits, keys, units = np.zeros(n, np.int64), [None] * n, [None] * n
-            by_width: dict[int, list[int]] = {}
-            for i in np.flatnonzero(ok).tolist():
-                by_width.setdefault(len(vectors[i]), []).append(i)
-            for rows in by_width.values():
-                x = unit(np.stack([vectors[i] for i in rows]))
-                for i, u, b, c in zip(rows, x, sketch_bits(x).astype(np.int64), codes(x)):
-                    digest[i] = np.frombuffer(xxhash.xxh3_128_digest(vectors[i].tobytes()), np.int64)
-                    bits[i], keys[i], units[i] = b, c.ravel(), u
-            yield pa.RecordBatch.from_arrays(
-                [part.column("vec_id"), pa.array(ok), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(bits), pa.array(keys, pa.list_(pa.int64())), pa.array(units, pa.list_(pa.float64()))],
-                names=["vec_id", "ok", "d1", "d2", "bits", "keys", "unit"],
-            )
-
-
-def block(ids, own, chunk, p, q, x, weight, key, cosine):
+def _hash_all(tables: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                vectors, ok = read_vectors(part.column("embedding"))
+                n = part.num_rows
+                digest = np.zeros((n, 2), np.int64)
+                bits, keys, units = np.zeros(n, np.int64), [None] * n, [None] * n
+                by_width: dict[int, list[int]] = {}
+                for i in np.flatnonzero(ok).tolist():
+                    by_width.setdefault(len(vectors[i]), []).append(i)
+                for rows in by_width.values():
+                    x = unit(np.stack([vectors[i] for i in rows]))
+                    for i, u, b, c in zip(rows, x, sketch_bits(x).astype(np.int64), codes(x, tables[padded(x.shape[1])])):
+                        digest[i] = np.frombuffer(xxhash.xxh3_128_digest(vectors[i].tobytes()), np.int64)
+                        bits[i], keys[i], units[i] = b, c.ravel(), u
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("vec_id"), pa.array(ok), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(bits), pa.array(keys, pa.list_(pa.int64())), pa.array(units, pa.list_(pa.float64()))],
+                    names=["vec_id", "ok", "d1", "d2", "bits", "keys", "unit"],
+                )
+
+    return run
+
+
+def block(ids, own, chunk, p, q, x, weight, key, cosine, tables):
     """Of one bucket's block: (id, number of links) and (id, id) edges that connect what is linked, for the pairs that count here."""
     left, right = np.flatnonzero(chunk == p), np.flatnonzero(chunk == q)
     near = (x[left] @ x[right].T >= cosine) & (own[left][:, None] | own[right])
@@ -138,10 +174,10 @@ def block(ids, own, chunk, p, q, x, weight, key, cosine):
         return [], [], [], []
     i, j = left[i], right[j]
     used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-    code = codes(x[used])
+    code = codes(x[used], tables)
     a, b = place[: len(i)], place[len(i) :]
     mine, open_ = np.zeros(len(i), bool), np.arange(len(i))
-    for t in range(TABLES):  # the first table where they meet, and there the smaller key
+    for t in range(tables):  # the first table where they meet, and there the smaller key
         ka, kb = code[a[open_], t], code[b[open_], t]
         none = np.iinfo(np.int64).max
         first = np.minimum(np.where((kb == ka[:, :1]).any(axis=1), ka[:, 0], none), np.where((ka == kb[:, :1]).any(axis=1), kb[:, 0], none))
@@ -163,7 +199,7 @@ def block(ids, own, chunk, p, q, x, weight, key, cosine):
     return np.flatnonzero(count), count, np.flatnonzero(low != np.arange(len(ids))), low
 
 
-def _blocks(cosine: float):
+def _blocks(cosine: float, tables: dict[int, int]):
     def run(group: pa.Table) -> pa.Table:
         g = {n: group.column(n) for n in group.column_names}
         ids, p, q, key = g["rep"].to_numpy(), g["p"][0].as_py(), g["q"][0].as_py(), g["key"][0].as_py()
@@ -171,7 +207,7 @@ def _blocks(cosine: float):
         if x is None:  # vectors of different lengths never meet; their codes collide at most by chance
             width = np.array([len(v) for v in g["unit"]])
             return pa.concat_tables([run(group.filter(pa.array(width == w))) for w in np.unique(width)])
-        found = block(ids, g["own"].to_numpy(), g["chunk"].to_numpy(), p, q, x, g["weight"].to_numpy(), key, cosine)
+        found = block(ids, g["own"].to_numpy(), g["chunk"].to_numpy(), p, q, x, g["weight"].to_numpy(), key, cosine, tables[padded(x.shape[1])])
         if not len(found[0]):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         rows, count, tied, low = found
@@ -187,12 +223,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
 
     Vectors that are null, empty or zero or hold a null or non-finite component link with nothing, nor do vectors of different lengths.
     Repeated rows are vectors of their own that link with each other. A row with a null vec_id links with nothing,
-    gets a null component_id and is kept. An empty table gives an empty result.
+    gets a null component_id and is kept. An empty table gives an empty result. A threshold too low for MOST tables at a width is a ValueError.
     """
     has_columns(vectors, "vec_id", "embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     schema = "vec_id long, ok boolean, d1 long, d2 long, bits long, keys array<long>, unit array<double>"
-    all_ = durable(rows.transform(in_batches, _hash_all, schema), "codes")
+    whole = rows.where("size(embedding) > 0 and forall(embedding, x -> x is not null and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
+    bits = whole.select(F.length(F.bin(F.size("embedding") - 1)).alias("bits")).distinct().collect()  # as padded() has them: 32 rows at most
+    tables = {dim: tables_for(cosine, dim) for dim in {1 << max(2, r["bits"]) for r in bits}}
+    all_ = durable(rows.transform(in_batches, _hash_all(tables), schema), "codes")
     named = all_.where("ok and vec_id is not null")
     classes = durable(named.groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
     reps = named.withColumnRenamed("vec_id", "rep").join(classes, ["d1", "d2", "rep"]).dropDuplicates(["d1", "d2"])
@@ -203,7 +242,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     placed = placed.select("key", "rep", "own", "chunk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     placed = placed.select("key", "rep", "own", "chunk", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"))
     work = placed.join(reps.select("rep", "weight", "unit"), "rep")
-    found = durable(grouped(work, ["key", "p", "q"], _blocks(cosine), "a long, b long, n long"), "found")
+    found = durable(grouped(work, ["key", "p", "q"], _blocks(cosine, tables), "a long, b long, n long"), "found")
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     lows = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     of = classes.join(links, "rep", "left").join(lows, "rep", "left")

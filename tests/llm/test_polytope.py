@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lorekeep.llm import polytope
 
@@ -60,3 +61,14 @@ def test_fast_transform_is_orthogonal():
     x = np.random.default_rng(1).normal(size=(5, 64))
     y = polytope.hadamard(x)
     assert np.allclose((y * y).sum(1), 64 * (x * x).sum(1)) and np.allclose(polytope.hadamard(y), 64 * x)
+
+
+def test_tables_follow_threshold_and_width():
+    """Pairs right at the threshold meet at other settings as well; 24 tables are too few there."""
+    assert polytope.tables_for(0.9, 64) == 24
+    for cosine, dim, n in ((0.8, 64, 1000), (0.9, 1024, 300)):
+        tables = polytope.tables_for(cosine, dim)
+        a, b = polytope.pairs_at(cosine, dim, n, np.random.default_rng(4))
+        assert polytope.meet(polytope.codes(a, tables), polytope.codes(b, tables)).any(axis=1).all()
+    with pytest.raises(ValueError):
+        polytope.tables_for(0.3, 64)
