@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import has_columns, mix
+from .common import durable, has_columns, in_batches, mix
 
-#: Rows that one window sorts to number them.
-RUN = 50_000
+#: Counts of rows by task and shard that may be broadcast, of 20 bytes each.
+BROADCAST_COUNTS = 500_000
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -27,12 +30,24 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return b
 
 
-def jump_column(key: str, shards: int):
-    @F.pandas_udf("int")
-    def of(k: pd.Series) -> pd.Series:
-        return pd.Series(jump(mix(k.fillna(0).to_numpy(np.int64).astype(np.uint64)), shards).astype(np.int32))
+def _place(shards: int):
+    """shard, grown_shard, the task and the row's place among the task's rows of its shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(shards, np.int64)
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            key = mix(batch.column("key").to_numpy().astype(np.uint64))
+            at = jump(key, shards)
+            order = np.argsort(at, kind="stable")
+            count = np.bincount(at, minlength=shards)
+            place = np.empty(len(at), np.int64)
+            place[order] = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + held[at[order]]
+            held += count
+            new = [pa.array(at.astype(np.int32)), pa.array(jump(key, shards + 1).astype(np.int32)), pa.array(np.full(len(at), task, np.int32)), pa.array(place)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "size", "text_crc32")), *new], names=["doc_id", "size", "text_crc32", "shard", "grown_shard", "task", "place"])
 
-    return of(F.col(key).cast("long"))
+    return run
 
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -40,17 +55,18 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     Returns doc_id, size, text_crc32, law ('key'), shard, slot and grown_shard, the shard with one shard more. A null text
     has the size 1 and the checksum 0; a null doc_id counts as 0. Rows with the same doc_id share a shard and get slots of their own.
-    Slots are numbered in runs of doc_id hashes, so that no task sorts a whole shard.
+    Slots follow the order in which tasks read the table: each task numbers its rows of a shard, and the counts of the tasks before it are
+    added, so no shard and no key is ever gathered. An empty table gives an empty result.
     """
     has_columns(docs, "doc_id", "text")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    total = docs.count()
-    runs = max(1, -(-total // (shards * RUN)))
-    rows = rows.withColumns({"shard": jump_column("doc_id", shards), "grown_shard": jump_column("doc_id", shards + 1), "run": F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)), F.lit(runs)).cast("int")})
-    within = Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size")
-    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    counts = docs.select(jump_column("doc_id", shards).alias("shard"), F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(11)), F.lit(runs)).cast("int").alias("run"))
-    base = counts.groupBy("shard", "run").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("shard", "run", "base")
-    out = rows.withColumn("place", F.row_number().over(within)).join(base, ["shard", "run"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("place") - 1).cast("long").alias("slot"), "grown_shard")
+    doc_id = F.col("doc_id").cast("long")
+    # Null ids become 0 before they reach Python, which would turn a batch with a null into doubles.
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("key"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = durable(rows.transform(in_batches, _place(shards), "doc_id long, size long, text_crc32 long, shard int, grown_shard int, task int, place long"), "placed")
+    counts = durable(placed.groupBy("shard", "task").count(), "counts")
+    before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("shard", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    if counts.count() <= BROADCAST_COUNTS:
+        base = F.broadcast(base)
+    return placed.join(base, ["shard", "task"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("place")).alias("slot"), "grown_shard")
