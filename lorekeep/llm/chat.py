@@ -8,10 +8,8 @@ same turns and the loss mask back from the written form.
 
 from __future__ import annotations
 
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import has_columns
 
@@ -89,33 +87,31 @@ ROW_LAYOUTS: dict[tuple[str, ...], tuple[str, str, str, str]] = {
 }
 
 
-def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
-    if isinstance(schema, T.StructType):
-        return sorted(p for f in schema.fields for p in field_paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name))
-    if isinstance(schema, T.ArrayType):
-        return field_paths(schema.elementType, prefix + "[]")
-    return [prefix]
+def row_print(columns: list[str]) -> Column:
+    """The fingerprint of a row's ``columns``: the hash of the nested field paths of the row as a variant.
 
-
-def row_fingerprint(paths: tuple[str, ...]) -> int:
-    """The fingerprint of a record with these field paths, as Spark's xxhash64 gives it."""
-    return (xxhash.xxh64_intdigest(_sql_schema(paths).encode(), seed=42) + 2**63) % 2**64 - 2**63
-
-
-ROW_PRINTS = {row_fingerprint(p): m for p, m in ROW_LAYOUTS.items()}
+    Strings go in cut to a character, as only their paths are told.
+    """
+    return fingerprint(F.to_variant_object(F.struct(*(F.left(F.col(f"`{c}`").cast("string"), F.lit(1)).alias(c) for c in columns))))
 
 
 def canonical_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role and text of a table with a row for each turn; the fingerprint of its field paths selects the mapping.
+    """conv_id, turn, role, text and layout of a table with a row for each turn; the hash of its nested field paths selects each row's mapping.
 
-    A table with further columns, whose own fingerprint is unknown, has the mapping whose paths are all there.
+    A table with further columns has the mapping whose paths are all there: the print is then taken of these alone, in the order of ROW_LAYOUTS.
+    A table without any mapping's columns is a ValueError, as no row of it could ever have a mapping.
     """
-    paths = field_paths(rows.schema)
-    mapping = ROW_PRINTS.get(row_fingerprint(tuple(paths))) or next((m for p, m in ROW_LAYOUTS.items() if set(paths) >= set(p)), None)
-    if mapping is None:
-        raise ValueError(f"no mapping for a table of {sorted(paths)}")
-    conv, order, role, text = (F.col(c) for c in mapping)
-    return rows.select(conv.cast("long").alias("conv_id"), order.cast("long").alias("turn"), role.cast("string").alias("role"), text.cast("string").alias("text"))
+    fits = {p: m for p, m in ROW_LAYOUTS.items() if set(p) <= set(rows.columns)}
+    if not fits:
+        raise ValueError(f"no mapping for a table of {sorted(rows.columns)}")
+    prints = rows.withColumns({f"_print{i}": row_print(sorted(p)) for i, p in enumerate(fits)})
+    turn = "struct<conv_id:long,turn:long,role:string,text:string,layout:string>"
+    mapped = F.lit(None).cast(turn)
+    for i, (paths, mapping) in reversed(list(enumerate(fits.items()))):
+        conv, order, role, text = (F.col(f"`{c}`") for c in mapping)
+        declared = F.struct(conv.cast("long").alias("conv_id"), order.cast("long").alias("turn"), role.cast("string").alias("role"), text.cast("string").alias("text"), F.lit("/".join(paths)).alias("layout"))
+        mapped = F.when(F.col(f"_print{i}") == F.xxhash64(F.lit(_sql_schema(paths))), declared).otherwise(mapped)
+    return prints.select(mapped.alias("t")).select("t.*")
 
 
 def turns_from_rows(rows: DataFrame) -> DataFrame:
@@ -124,8 +120,12 @@ def turns_from_rows(rows: DataFrame) -> DataFrame:
     Further columns don't matter as long as one mapping's paths are there. Null roles and texts are empty, rows with a null place come first,
     and rows with a null conversation are one conversation.
     """
+    return gathered(canonical_rows(rows))
+
+
+def gathered(canonical: DataFrame) -> DataFrame:
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    all_ = canonical_rows(rows).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    all_ = canonical.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
     return all_.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
@@ -138,34 +138,62 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])\\(\\*)" + _AHEAD, "$1$2")
 
 
+def _head(role: Column) -> Column:
+    """What stands before a turn's text. Roles are URL-encoded, so they hold no line break or marker."""
+    return F.concat(F.lit(OPEN), F.url_encode(role), F.lit("\n"))
+
+
 def render(turns: Column) -> Column:
-    """Turns as one text. Roles are URL-encoded, so they hold no line break or marker."""
-    return F.array_join(F.transform(turns, lambda x: F.concat(F.lit(OPEN), F.url_encode(x["role"]), F.lit("\n"), escaped(x["text"]), F.lit(CLOSE + "\n"))), "")
+    """Turns as one text."""
+    return F.array_join(F.transform(turns, lambda x: F.concat(_head(x["role"]), escaped(x["text"]), F.lit(CLOSE + "\n"))), "")
+
+
+def loss_mask(turns: Column, trained: str = "assistant") -> Column:
+    """Spans (turn, start, stop) of the rendered text that the loss is taken over: code points from the turn's opening marker, the text between its markers.
+
+    Counted from the turn and not from the whole text, so that reading all spans of a long conversation takes one pass.
+    """
+    spans = F.transform(turns, lambda x, i: F.struct(x["role"].alias("role"), i.alias("turn"), F.length(_head(x["role"])).alias("start"), (F.length(_head(x["role"])) + F.length(escaped(x["text"]))).alias("stop")))
+    return F.transform(F.filter(spans, lambda x: x["role"] == trained), lambda x: F.struct(x["turn"].alias("turn"), x["start"].alias("start"), x["stop"].alias("stop")))
+
+
+def _cut(formatted: Column) -> Column:
+    """The rendered turns of a text, each with its opening marker; no text between markers holds one, as it is escaped."""
+    return F.transform(F.filter(F.split(formatted, r"<\|im_start\|>"), lambda x: x != ""), lambda x: F.concat(F.lit(OPEN), x))
 
 
 def read_back(formatted: Column) -> Column:
     """The turns of a text that ``render`` wrote."""
-    parts = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda x: x != "")
     role = lambda x: F.substring_index(x, "\n", 1)
     # Behind the role's line, without the closing marker and its line break.
     body = lambda x: F.substring(x, F.length(role(x)) + 2, F.length(x) - F.length(role(x)) - 1 - len(CLOSE) - 1)
-    return F.transform(parts, lambda x: F.struct(F.url_decode(role(x)).alias("role"), unescaped(body(x)).alias("text")))
+    return F.transform(_cut(formatted), lambda x: F.struct(F.url_decode(F.substring(role(x), F.lit(len(OPEN) + 1), F.length(x))).alias("role"), unescaped(body(x)).alias("text")))
+
+
+def read_loss(formatted: Column, mask: Column) -> Column:
+    """All text under the mask, unescaped, nothing between its spans."""
+    # The outer lambda binds the cut turns, which are then made once and not for each span.
+    under = lambda turns: F.array_join(F.transform(mask, lambda m: unescaped(F.substring(F.get(turns, m["turn"]), m["start"] + 1, m["stop"] - m["start"]))), "")
+    return F.get(F.transform(F.array(_cut(formatted)), under), F.lit(0))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id and what is read back from the column ``formatted``: counts and digests of the turns and of the text under the loss mask."""
-    read = formatted.withColumn("read", read_back(F.col("formatted")))
+    """conv_id and what is read back from the columns ``formatted`` and ``mask``: counts and digests of the turns and of the text under the loss mask."""
+    read = formatted.withColumns({"read": read_back(F.col("formatted")), "loss": read_loss(F.col("formatted"), F.col("mask"))})
     said = F.array_join(F.transform("read", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("read", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
     return read.select(
         "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
 
 def format_rows(rows: DataFrame) -> DataFrame:
-    """conv_id and formatted of a table with a row for each turn; an empty table gives an empty result."""
-    return turns_from_rows(rows).select("conv_id", render(F.col("turns")).alias("formatted"))
+    """conv_id, formatted and mask (the loss spans) of a table with a row for each turn; an empty table gives an empty result."""
+    return written(turns_from_rows(rows))
+
+
+def written(turns: DataFrame) -> DataFrame:
+    return turns.select("conv_id", render(F.col("turns")).alias("formatted"), loss_mask(F.col("turns")).alias("mask"))
 
 
 def probe(spark: SparkSession) -> DataFrame:

@@ -49,8 +49,9 @@ def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat.canonical_rows(table(spark, sf_dir, "conversations")).unionAll(chat.probe(spark))
-    return chat.digests(chat.format_rows(rows))
+    given = chat.canonical_rows(table(spark, sf_dir, "conversations"))
+    rows = given.select("conv_id", "turn", "role", "text").unionAll(chat.probe(spark))
+    return chat.digests(chat.written(chat.gathered(rows)))
 
 
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -80,13 +81,31 @@ def test_row_layouts(spark):
 
 
 def test_fingerprint_selects_the_mapping_of_a_table(spark, monkeypatch, tmp_path):
+    """The hash of a row's paths is taken in the JVM and equals that of the mapping's; a mapping whose hash differs selects nothing."""
     for paths in chat.ROW_LAYOUTS:
-        record = spark.createDataFrame([(json.dumps(dict.fromkeys(paths, "x")),)], "record string").select(F.parse_json("record").alias("v"))
-        assert record.select(chat.fingerprint(F.col("v"))).first()[0] == chat.row_fingerprint(paths)
+        df = spark.createDataFrame([tuple("x" for _ in paths), tuple(None for _ in paths)], ", ".join(f"`{p}` string" for p in paths))
+        assert {r[0] for r in df.select(chat.row_print(sorted(df.columns))).collect()} == {df.select(F.xxhash64(F.lit(chat._sql_schema(paths)))).first()[0]}
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "ho")]
     spark.createDataFrame(rows, "id long, position long, `from` string, value string").write.parquet(f"{tmp_path}/conversations.parquet")
-    # A registered print without a mapping of columns: only the hash can find it.
-    paths = ("from", "id", "position", "value")
-    monkeypatch.setattr(chat, "ROW_LAYOUTS", {k: v for k, v in chat.ROW_LAYOUTS.items() if k != paths})
     out = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op9_chat(spark, str(tmp_path)).collect()}
     assert out[1] == want(rows)[1]
+    plan = queries.op9_chat(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "variant" in plan.lower() and "Python" not in plan
+    clashing = spark.createDataFrame([(*rows[0], 5, "x"), (*rows[1], 6, None)], SCHEMA + ", id int, `from` string")
+    assert {r.layout for r in chat.canonical_rows(clashing).collect()} == {"conv_id/role/text/turn"}
+    monkeypatch.setattr(chat, "_sql_schema", lambda paths: "OBJECT<other: *>")
+    assert {r.layout for r in chat.canonical_rows(clashing).collect()} == {None}
+    with pytest.raises(ValueError):
+        chat.canonical_rows(spark.range(1))
+
+
+def test_loss_mask_points_at_assistant_texts(spark):
+    """Every span of the mask, cut out of the written text by hand, is one assistant text in its escaped form."""
+    rows = [(1, 0, "system", "s"), (1, 1, "assistant", "one </s>𝄞"), (1, 2, "user", "<|im_start|>q"), (1, 3, "assistant", ""), (1, 4, "assistant", "two\n"), (2, 0, "user", "alone")]
+    out = {r.conv_id: r for r in chat.format_rows(spark.createDataFrame(rows, SCHEMA)).collect()}
+    turns = [chat.OPEN + x for x in out[1].formatted.split(chat.OPEN)[1:]]
+    assert [m.turn for m in out[1].mask] == [1, 3, 4] and out[2].mask == []
+    assert [turns[m.turn][m.start : m.stop] for m in out[1].mask] == ["one <\\/s>𝄞", "", "two\n"]
+    # What is read back follows the mask, not the roles.
+    df = chat.format_rows(spark.createDataFrame(rows, SCHEMA)).withColumn("mask", F.expr("filter(mask, m -> m.turn = 4)"))
+    assert {r.conv_id: r.loss_chars for r in chat.digests(df).collect()} == {1: 4, 2: 0}
