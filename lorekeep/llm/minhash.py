@@ -100,6 +100,11 @@ def band_keys(sk: np.ndarray, b: int, r: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """The two halves of each set's 128-bit digest."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+
+
 def _summaries(k: int, b: int, r: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -111,8 +116,7 @@ def _summaries(k: int, b: int, r: int, least: int):
                 keys = band_keys(sketch([sets[i] for i in big], b * r), b, r)
             ends = np.zeros(len(sets) + 1, np.int32)
             ends[1:] = np.cumsum(np.where(size >= least, b, 0))
-            digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            d = _digests(sets)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(size), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
                 names=["doc_id", "n_shingles", "d1", "d2", "keys"],
@@ -128,13 +132,14 @@ def _sets(k: int):
             ends = np.zeros(len(sets) + 1, np.int32)
             ends[1:] = np.cumsum([len(s) for s in sets])
             flat = np.concatenate([*sets, np.empty(0, np.uint64)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "grams"])
+            d = _digests(sets)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rep", "d1", "d2", "grams"])
 
     return run
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], rest: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between ``left`` and ``right`` members of a block of which one is in ``rest``, as a spanning forest."""
+def block_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between ``left`` and ``right`` members of a block, as a spanning forest."""
     size = np.array([len(s) for s in sets], np.int64)
     starts = np.cumsum(size) - size
     vocabulary, coded = np.unique(np.concatenate(sets), return_inverse=True)
@@ -145,13 +150,12 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], rest: np.ndarray, left:
             up[i] = i = up[up[i]]
         return i
 
-    for x in np.flatnonzero(rest):
+    for x in np.flatnonzero(left):
         own = coded[starts[x] : starts[x] + size[x]]
         mark[own] = 1
         both = np.add.reduceat(mark[coded], starts)
         mark[own] = 0
-        near = 100 * both >= percent * (size + size[x] - both)
-        near &= (left[x] & right) | (right[x] & left)
+        near = (100 * both >= percent * (size + size[x] - both)) & right
         for y in np.flatnonzero(near):
             if (a := root(x)) != (b := root(y)):
                 up[a] = b
@@ -162,9 +166,8 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], rest: np.ndarray, left:
 def _blocks(percent: int):
     def run(group: pa.Table) -> pa.Table:
         ids, rest = group.column("rep").to_numpy(), group.column("rest").to_numpy()
-        chunk, p, q = group.column("chunk").to_numpy(), group.column("p")[0].as_py(), group.column("q")[0].as_py()
         sets = [x.values.to_numpy(zero_copy_only=False) for x in group.column("grams")]
-        links = block_links(ids, sets, rest, chunk == p, chunk == q, percent)
+        links = block_links(ids, sets, rest, ~rest, percent)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return run
@@ -176,7 +179,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Documents are linked if 100 * intersection >= percent * union of their sets of k-word shingles, and component_id is the
     smallest doc_id reachable. A null, empty or blank text has no shingles and is linked with nothing, not even
     another one. A text of fewer than k words has one shingle, the whole. Repeated rows are
-    copies of each other: each is returned, with the same component. A row with a null doc_id is linked with nothing, gets a null
+    copies of each other: each is returned, with the same component. Rows that share a doc_id but not their text are one document in several
+    versions: what any of them is linked with, all are. A row with a null doc_id is linked with nothing, gets a null
     component_id and is kept. An empty table gives an empty result.
     """
     has_columns(docs, "doc_id", "text")
@@ -184,45 +188,67 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # A set of n elements and a different one have a similarity of n / (n + 1) at most.
     least = next(n for n in range(1, 200) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 62
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_ = durable(docs.transform(in_batches, _summaries(k, b, r, least), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"), "sketches")
+    sketched = docs.transform(in_batches, _summaries(k, b, r, least), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
+    all_ = durable(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
     named = all_.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = named.withColumnRenamed("doc_id", "rep").join(classes, ["d1", "d2", "rep"], "left_semi").where(F.size("keys") > 0)
-    spread = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct()
+    # A class of equal sets is told by a row of its own (cid): no join of many rows meets in its digest.
+    classes = named.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("f"), F.count("*").alias("weight"))
+    classes = durable(classes.select("d1", "d2", F.col("f.doc_id").alias("rep"), F.col("f.row").alias("cid"), "weight"), "classes")
+    reps = named.where(F.size("keys") > 0).select(F.col("row").alias("cid"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys").join(classes.select("cid"), "cid", "left_semi")
+    spread = reps.select("cid", "rep", "n", F.explode("keys").alias("key"))
     crowded = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = durable(spread.join(crowded, "key"), "members")
-    met = members.groupBy("rep").agg(F.sum("c").alias("w"))
-    centres = members.join(met, "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("m"), "n")).alias("x"))
-    centres = centres.select("key", (-F.col("x.m")).alias("centre"), F.col("x.n").alias("cn"))
+    met = members.groupBy("cid").agg(F.sum("c").alias("w"))
+    centres = members.join(met, "cid").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("m"), "cid", "n")).alias("x"))
+    centres = centres.select("key", F.col("x.cid").alias("centre"), (-F.col("x.m")).alias("crep"), F.col("x.n").alias("cn"))
     placed = durable(members.join(centres, "key"), "placed")
-    involved = placed.select(F.col("rep").alias("doc_id")).distinct()
-    sets = durable(only(docs, involved, "doc_id").dropDuplicates(["doc_id"]).transform(in_batches, _sets(k), "id long, grams array<long>"), "sets")
-    pairs = placed.where(f"rep <> centre and 100 * least(n, cn) >= {percent} * greatest(n, cn)").select("rep", "centre", "n", "cn").distinct()
-    pairs = pairs.join(sets.select(F.col("id").alias("rep"), F.col("grams").alias("g1")), "rep")
-    pairs = pairs.join(sets.select(F.col("id").alias("centre"), F.col("grams").alias("g2")), "centre")
+    involved = durable(placed.select("cid", "rep").distinct().join(classes.select("cid", "d1", "d2"), "cid"), "involved")
+    found = only(docs.withColumnRenamed("doc_id", "rep"), involved.select("rep").distinct(), "rep").withColumnRenamed("rep", "doc_id").transform(in_batches, _sets(k), "rep long, d1 long, d2 long, grams array<long>")
+    # The set that belongs to the class's digest, whatever else goes by the same doc_id.
+    sets = durable(only(found, involved, ["rep", "d1", "d2"], "inner").select("cid", "grams"), "sets")
+    if not sets.groupBy("cid").count().where("count > 1").isEmpty():
+        sets = durable(sets.dropDuplicates(["cid"]), "sets")
+    pairs = placed.where(f"cid <> centre and 100 * least(n, cn) >= {percent} * greatest(n, cn)").select("cid", "centre", "rep", "crep", "n", "cn").distinct()
+    pairs = pairs.join(sets.select("cid", F.col("grams").alias("g1")), "cid")
+    pairs = pairs.join(sets.select(F.col("cid").alias("centre"), F.col("grams").alias("g2")), "centre")
     both = F.size(F.array_intersect("g1", "g2"))
-    links = pairs.withColumn("both", both).where(f"100 * both >= {percent} * (n + cn - both)").select("rep", "centre")
+    links = pairs.withColumn("both", both).where(f"100 * both >= {percent} * (n + cn - both)").select("cid", "centre", "rep", "crep")
     links = durable(links, "links")
     # Buckets where more than one member is linked with no centre, or one is and others are; of buckets with the same members, one.
-    at = placed.join(links.withColumn("ok", F.lit(True)), ["rep", "centre"], "left").withColumn("rest", F.expr("ok is null and rep <> centre"))
+    at = placed.join(links.select("cid", "centre", F.lit(True).alias("ok")), ["cid", "centre"], "left").withColumn("rest", F.expr("ok is null and cid <> centre"))
     stats = at.groupBy("key").agg(
-        F.count("*").alias("c"), F.count_if("rest").alias("left"), F.sum("n").alias("total"),
-        F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("s2"), F.bit_xor(F.xxhash64("rep", "rest")).alias("s3"),
+        F.count("*").alias("c"), F.count_if("rest").alias("left"), F.sum("n").alias("total"), F.sum(F.when(F.col("rest"), F.col("n"))).alias("unlinked"),
+        F.bit_xor(F.xxhash64("cid")).alias("s1"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("s2"), F.bit_xor(F.xxhash64("cid", "rest")).alias("s3"),
     )
-    mixed = stats.where("c > 2 and left > 0").groupBy("s1", "s2", "s3", "c", "total").agg(F.min("key").alias("key"))
-    mixed = mixed.select("key", F.ceil(F.col("total") / BLOCK).cast("int").alias("nb"))
-    blocks = at.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("nb")).cast("int"))
-    blocks = blocks.select("key", "rep", "rest", "chunk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    blocks = blocks.withColumns({"p": F.least("chunk", "other"), "q": F.greatest("chunk", "other")}).drop("other")
-    blocks = blocks.join(sets.withColumnRenamed("id", "rep"), "rep")
+    mixed = stats.where("c > 2 and left > 0").groupBy("s1", "s2", "s3", "c", "total", "unlinked").agg(F.min("key").alias("key"))
+    # A block holds a chunk of the unlinked members (rest) and one of all members: who is linked already goes there once for each chunk of unlinked ones.
+    mixed = mixed.select("key", F.ceil(F.col("total") / BLOCK).cast("int").alias("nq"), F.ceil(F.col("unlinked") / BLOCK).cast("int").alias("np"))
+    inside = at.join(mixed, "key").select("key", "cid", "rep", "rest", "np", "nq")
+    chunk = lambda n: F.pmod(F.xxhash64("cid", F.lit(3)), F.col(n)).cast("int")
+    blocks = inside.where("rest").withColumns({"p": chunk("np"), "q": F.explode(F.sequence(F.lit(0), F.col("nq") - 1))}).unionByName(
+        inside.withColumns({"rest": F.lit(False), "q": chunk("nq"), "p": F.explode(F.sequence(F.lit(0), F.col("np") - 1))})
+    )
+    blocks = blocks.select("key", "cid", "rep", "rest", "p", "q").join(sets, "cid")
     more = grouped(blocks, ["key", "p", "q"], _blocks(percent), "a long, b long")
-    found = components(links.select(F.col("rep").alias("a"), F.col("centre").alias("b")).unionAll(more))
-    release(members, placed, sets, links)
-    of = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("low"))
-    out = all_.drop("keys").join(of, ["d1", "d2"], "left")
-    # An empty set's digest is never in classes: its row stands for itself.
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
+    low = components(links.select(F.col("rep").alias("a"), F.col("crep").alias("b")).unionAll(more))
+    release(members, placed, involved, sets, links)
+    of = classes.join(low.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "weight", F.coalesce("component", "rep").alias("low"))
+    return _labelled(all_, of)
+
+
+def _labelled(all_: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of ``all_`` with what ``of`` tells of their digest. Digests of many rows are few, so they are broadcast, and their rows go nowhere."""
+    # So many rows or more make a digest a large one; there are 500,000 such at most, whatever the number of rows.
+    large = max(1000, all_.count() // 500_000)
+    of = durable(of, "labels")
+    rows = all_.select("doc_id", "n_shingles", "d1", "d2")
+    labelled = F.expr("doc_id is not null and n_shingles > 0")
+    many = F.broadcast(of.where(F.col("weight") >= large).select("d1", "d2", "low"))
+    few = of.where(F.col("weight") < large).select("d1", "d2", "low")
+    asking = rows.where(labelled)
+    parts = (asking.join(many, ["d1", "d2"]), asking.join(many, ["d1", "d2"], "left_anti").join(few, ["d1", "d2"]), rows.where(~labelled).withColumn("low", F.col("doc_id")))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("doc_id", "n_shingles", F.col("low").alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

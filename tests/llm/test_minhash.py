@@ -97,3 +97,24 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(2, 41)}, 95: 90, 100: 90}
+
+
+def test_versions_of_one_document_keep_their_links(spark):
+    """Rows that share an id but not their text: each text is compared, and the document has the links of all."""
+    rng = np.random.default_rng(8)
+    a, b = ([f"{x}{i}" for i in rng.integers(0, 9999, 80)] for x in "ab")
+    near = [*b[:79], "other"]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(near)), (3, "quite another text"), (1, " ".join(b)), (4, " ".join([*a[:79], "more"]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 1)]
+
+
+def test_one_text_on_most_rows(spark, monkeypatch):
+    """Copies beyond the limit of a large digest, empty texts and null ids beside other groups."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in rng.integers(0, 9999, 60)]
+    rows = [(i, " ".join(base)) for i in range(10, 1300)] + [(i, None) for i in range(2000, 2400)] + [(5000, " ".join([*base[:59], "x"])), (5001, "a b c d"), (5002, "A b c d")]
+    df = spark.createDataFrame(rows + [(None, " ".join(base))] * 300, SCHEMA).repartition(5)
+    got = minhash.near_duplicates(df, 3, 85).collect()
+    assert len(got) == len(rows) + 300 and sum(r.doc_id is None and r.component_id is None and r.kept for r in got) == 300
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == brute(rows, 3, 85)
