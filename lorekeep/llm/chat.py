@@ -104,13 +104,13 @@ def canonical_rows(rows: DataFrame) -> DataFrame:
     fits = {p: m for p, m in ROW_LAYOUTS.items() if set(p) <= set(rows.columns)}
     if not fits:
         raise ValueError(f"no mapping for a table of {sorted(rows.columns)}")
-    prints = rows.withColumns({f"_print{i}": row_print(sorted(p)) for i, p in enumerate(fits)})
+    prints = rows.withColumns({f"__print{i}": row_print(sorted(p)) for i, p in enumerate(fits)})
     turn = "struct<conv_id:long,turn:long,role:string,text:string,layout:string>"
     mapped = F.lit(None).cast(turn)
     for i, (paths, mapping) in reversed(list(enumerate(fits.items()))):
         conv, order, role, text = (F.col(f"`{c}`") for c in mapping)
         declared = F.struct(conv.cast("long").alias("conv_id"), order.cast("long").alias("turn"), role.cast("string").alias("role"), text.cast("string").alias("text"), F.lit("/".join(paths)).alias("layout"))
-        mapped = F.when(F.col(f"_print{i}") == F.xxhash64(F.lit(_sql_schema(paths))), declared).otherwise(mapped)
+        mapped = F.when(F.col(f"__print{i}") == F.xxhash64(F.lit(_sql_schema(paths))), declared).otherwise(mapped)
     return prints.select(mapped.alias("t")).select("t.*")
 
 

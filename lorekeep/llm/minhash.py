@@ -257,10 +257,10 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of rows repeated whole, one stays. Blank texts and rows with a null doc_id stay.
     """
     result = durable(near_duplicates(docs, k, percent), "kept")
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    gone = result.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    twice = durable(result.where("kept and n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "twice")
-    left = only(named, gone, "_id", "left_anti")
+    named = docs.withColumn("__kept_id", F.col("doc_id").cast("long"))
+    gone = result.where("not kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    twice = durable(result.where("kept and n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__kept_id")).count().where("count > 1").select("__kept_id"), "twice")
+    left = only(named, gone, "__kept_id", "left_anti")
     if not twice.isEmpty():
-        left = only(left, twice, "_id", "left_anti").unionByName(only(left, twice, "_id").dropDuplicates(["_id", "text"]))
+        left = only(left, twice, "__kept_id", "left_anti").unionByName(only(left, twice, "__kept_id").dropDuplicates(["__kept_id", "text"]))
     return left.select(*docs.columns)

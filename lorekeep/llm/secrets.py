@@ -88,15 +88,16 @@ def _scan_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _key() -> Column:
-    """Tells rows apart whose doc_id is null or repeated; copies of a row have the same."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """Tells rows apart whose doc_id is null or repeated; copies of a row have the same. 128 bits over doc_id and text, so no other row is cut by chance."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(20), text, doc_id).alias("b"))
 
 
 def findings(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """A durable row for each document: row, doc_id, repository, owner, found and cands."""
     has_columns(docs, "doc_id", "text", repository, owner)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string").alias("text"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"))
-    out = docs.transform(in_batches, _scan_all, f"doc_id long, key long, repository string, owner string, found {FOUND}, cands {CANDIDATES}")
+    out = docs.transform(in_batches, _scan_all, f"doc_id long, key struct<a:long,b:long>, repository string, owner string, found {FOUND}, cands {CANDIDATES}")
     return durable(out.withColumn("row", F.monotonically_increasing_id()), "findings")
 
 
@@ -122,7 +123,9 @@ def spelled(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
-    """Secrets of each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and n_copied.
+    """Secrets of each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied and live_repositories.
+
+    live_repositories is how far its live values have spread: the most repositories that hold one of them, 0 if there is none.
 
     A null or empty text has no spans and the digest of the empty string. Repeated rows, null ids and null owners are rows like
     others (nulls of a kind count as one owner). An empty table gives an empty result.
@@ -136,7 +139,7 @@ def find(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max
     return out.select(
         "doc_id", many(0).alias("n_assign"), many(1).alias("n_access"), many(2).alias("n_hex"),
         F.sha2(spelled(F.col("found")).cast("binary"), 256).alias("base_sha256"), spelled(F.array_sort(F.concat("found", added))).alias("spans"),
-        of("live").alias("n_live"), of("copied").alias("n_copied"),
+        of("live").alias("n_live"), of("copied").alias("n_copied"), F.coalesce(F.array_max(F.transform(F.filter(judged, lambda x: x["verdict"] == "live"), lambda x: x["repositories"])), F.lit(0)).cast("long").alias("live_repositories"),
     )
 
 
@@ -148,12 +151,13 @@ def redact(docs: DataFrame, repository: str = "doc_id", owner: str = "source", m
     found = findings(docs, repository, owner)
     judged = verdicts(found, max_owners).withColumn("cut", F.expr("transform(filter(judged, x -> x.verdict <> 'copied' and (x.k < 3 or x.verdict = 'live')), x -> struct(x.s as s, x.e as e))"))
     cuts = found.select("row", "key").join(judged.where(F.size("cut") > 0).select("row", "cut"), "row")
-    cuts = durable(cuts.groupBy(F.col("key").alias("_key")).agg(F.first("cut").alias("_cut")), "cuts")
+    cuts = durable(cuts.groupBy(F.col("key.a").alias("__mask_a"), F.col("key.b").alias("__mask_b")).agg(F.first("cut").alias("__mask_cut")), "cuts")
     names, types = docs.columns, dict(docs.dtypes)
-    spans = cuts.agg(F.sum(F.size("_cut") + 2)).first()[0] or 0
-    work = docs.withColumn("_key", _key()).join(F.broadcast(cuts) if spans <= BROADCAST_SPANS else cuts, "_key", "left")
-    cut = work.where("_cut is not null").select(*names, "_cut")
-    whole = work.where("_cut is null").select(*names)
+    spans = cuts.agg(F.sum(F.size("__mask_cut") + 2)).first()[0] or 0
+    keyed = docs.withColumn("__mask_key", _key()).withColumns({"__mask_a": F.col("__mask_key.a"), "__mask_b": F.col("__mask_key.b")})
+    work = keyed.join(F.broadcast(cuts) if spans <= BROADCAST_SPANS else cuts, ["__mask_a", "__mask_b"], "left")
+    cut = work.where("__mask_cut is not null").select(*names, "__mask_cut")
+    whole = work.where("__mask_cut is null").select(*names)
     release(found)
     schema = ", ".join(f"`{n}` {types[n]}" for n in names)
     return whole.unionByName(cut.transform(in_batches, _mask_all(mask, names), schema))
@@ -172,7 +176,7 @@ def _mask_all(mask: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             texts = []
-            for text, cut in zip(part.column("text").to_pylist(), part.column("_cut").to_pylist()):
+            for text, cut in zip(part.column("text").to_pylist(), part.column("__mask_cut").to_pylist()):
                 texts.append(None if text is None else masked(text, [(x["s"], x["e"]) for x in cut], mask))
             new = pa.array(texts, part.schema.field("text").type)
             cols = {n: part.column(n) for n in names} | {"text": new}

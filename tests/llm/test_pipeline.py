@@ -105,6 +105,8 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_stages_keep_further_columns(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("score", F.lit(1)).withColumn("_id", F.lit("x")).withColumn("row", F.lit(2)).withColumn("cut", F.lit(3))
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("score", F.lit(1)).withColumn("_id", F.lit("x")).withColumn("_a", F.lit("y")).withColumn("row", F.lit(2)).withColumn("cut", F.lit(3))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, small).columns == docs.columns, name
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns, name
+        assert {(r.score, r._id, r.row, r.cut) for r in out.collect()} == {(1, "x", 2, 3)}, name

@@ -68,6 +68,40 @@ def test_ownership_tells_copied_examples_from_live_ones(spark):
     assert held[6] == 6 and held[1] in (1, 2)
 
 
+def judged(rows, max_owners=2):
+    """doc_id -> (spans, n_live, n_copied, live_repositories) by the definition, from all rows at once."""
+    values, held = {}, {}
+    for d, text, source in rows:
+        b = base(text)
+        found = [(s, k, e, ASSIGN.match(text, s)[2] if k == 0 else text[s:e]) for s, k, e in b]
+        for m in re.finditer("[A-Za-z0-9+_-]+", text or ""):
+            if len(m[0]) >= 20 and secrets.looks_random(m[0]) and not any(s < m.end() and e > m.start() for s, _, e in b):
+                found.append((m.start(), 3, m.end(), m[0]))
+        values[d] = found
+        for *_, x in found:
+            held.setdefault(x, set()).add((d, source))
+    out = {}
+    for d, found in values.items():
+        owners = lambda x: len({s for _, s in held[x]})
+        live = [f for f in found if owners(f[3]) <= max_owners and secrets.looks_random(f[3])]
+        spans = sorted([f[:3] for f in found if f[1] < 3] + [f[:3] for f in live if f[1] == 3])
+        out[d] = (spelled(spans), len(live), sum(owners(f[3]) > max_owners for f in found), max((len({i for i, _ in held[f[3]]}) for f in live), default=0))
+    return out
+
+
+def test_added_spans_and_counts_equal_the_definition(spark):
+    """Spans that the method adds, verdicts and the spread of live values, over whole tables."""
+    rng = random.Random(7)
+    pool = ["".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(rng.randint(18, 40))) for _ in range(12)] + ["0123456789abcdef" * 2, "AKIA" + "Z9Y8X7W6V5U4" * 2, "changeme1234567890abcdef"]
+    texts = [" ".join(rng.choice(["see", "token=", "secret: ", "key"]) + " " * rng.randint(0, 1) + rng.choice(pool) for _ in range(rng.randint(0, 5))) for _ in range(150)]
+    rows = [(i, t, f"owner{rng.choice([1, 1, 1, 2, 3, 4])}") for i, t in enumerate(texts)]
+    rows += [(1000 + r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    want = judged(rows)
+    got = {r.doc_id: (r.spans, r.n_live, r.n_copied, r.live_repositories) for r in secrets.find(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == want
+    assert any("owned" in x[0] for x in want.values()) and any(x[2] for x in want.values()) and any(x[3] > 1 for x in want.values())
+
+
 def test_redaction(spark):
     df = corpus(spark).selectExpr("*", "length(text) as n_chars", "'en' as lang")
     out = {r.doc_id: r for r in secrets.redact(df).collect()}
