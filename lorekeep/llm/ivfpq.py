@@ -3,8 +3,8 @@
 Centroids and code books are fitted on the driver from a bounded sample of distinct vectors (FIT_ROWS); every row is indexed. A query reads the lists nearest to it,
 until they hold a share of all rows that is measured: the least that found RECALL of the sample's own nearest neighbours (clustered vectors need
 few lists, vectors without structure most of them), and as many rows as it must return. Lists and the queries that read them are cut into chunks of bounded size that meet
-in one task: asymmetric distance tables rank a chunk's codes, the best RERANK of it, and all that tie with the last of them, are measured
-exactly on the original vectors, and the k nearest rows of each chunk go on to the query's final ranking.
+in one task: asymmetric distance tables rank a chunk's codes, the best RERANK rows of it, however large it is, and all that tie with the last of them, are
+measured exactly on the original vectors, and the k nearest rows of each chunk go on to the query's final ranking.
 
 Equal vectors are one class: it is indexed once, and carries the smallest of its ids, as many as any query can return. So copies
 neither fill a list nor are torn apart by a cut or by rounding.
@@ -26,8 +26,10 @@ from .polytope import read_vectors
 #: Distinct vectors that centroids and code books are fitted on: those whose hashed ids are smallest.
 FIT_ROWS = 20_000
 MAX_LISTS = 4096
-#: Share of the sample's nearest neighbours that the lists read must hold, rows of the sample that ask for theirs, and share of a chunk that is measured exactly.
-RECALL, ASKING, RERANK = 0.97, 500, 0.25
+#: Share of the sample's nearest neighbours that the lists read must hold, rows of the sample that ask for theirs, and rows of a chunk that a query measures exactly.
+RECALL, ASKING, RERANK = 0.97, 500, 128
+#: Vectors that take part: not empty, all components there and finite, not all of them zero.
+USABLE = "size(embedding) > 0 and forall(embedding, x -> x is not null and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
 SUBSPACES, CODES = 16, 256
 #: Classes of a list, and queries, in one task's chunk.
 CHUNK, QUERIES = 4096, 1024
@@ -163,7 +165,7 @@ def _search(index: Index, k: int):
             named, owner = held.flatten().to_numpy(), np.repeat(np.arange(len(ms)), held.value_lengths().to_numpy())
             member, centre = x[ms], index.centre[group.column("list")[0].as_py()]
             # One more than asked for: the query itself may be among them.
-            many = min(len(ms), max(4 * k, int(RERANK * len(ms))) + 1)
+            many = min(len(ms), max(4 * k, RERANK) + 1)
             column = np.arange(code.shape[1])
             for a in range(0, len(qs), 64):
                 part = qs[a : a + 64]
@@ -184,15 +186,15 @@ def _search(index: Index, k: int):
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` nearest found rows of ``vectors`` for each row of ``queries`` (both vec_id, embedding): query_id, rank, vec_id, score.
 
-    Vectors that are null, empty or zero, hold a null or non-finite component or differ in length from the first
-    rows of the sample take no part, nor do rows with a null vec_id. A query never finds rows with its own id; ties go to the smaller
+    Vectors that are null, empty or zero, hold a null or non-finite component or differ in length from most
+    of the sample take no part, nor do rows with a null vec_id. A query never finds rows with its own id; ties go to the smaller
     vec_id. Repeated rows are candidates of their own, and repeated queries count once. Empty tables give an empty result.
     """
     has_columns(vectors, "vec_id", "embedding")
-    clean = lambda df: df.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # Unusable vectors go before anything is sampled.
+    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null").where(USABLE)
     vectors, queries = durable(classes(clean(vectors), k), "classes"), clean(queries)
     sample, _ = read_vectors(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toArrow().column("embedding"))
-    sample = [x for x in sample if x is not None]
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -208,13 +210,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asking = queries.dropDuplicates(["vec_id"]).withColumn("ids", F.lit(None).cast("array<long>")).transform(in_batches, _assign(index), assigned)
     # Its own row may stand in the lists, so one more than k; each class has a row at least.
     probes = durable(asking.select("vec_id", "x").transform(in_batches, _probe(index, sizes, max(share * sizes.sum(), k + 1)), "vec_id long, x array<double>, list int"), "probes")
-    asked = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
-    parts = F.create_map(*(F.lit(v) for at in range(len(sizes)) for v in (at, max(1, -(-int(sizes[at]) // CHUNK)))))
-    turns = F.create_map(*(F.lit(v) for at in range(len(sizes)) for v in (at, max(1, -(-asked.get(at, 0) // QUERIES)))))
-    left = members.where(F.col("list").isin(list(asked))).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), parts[F.col("list")]).cast("int"))
-    left = left.withColumn("turn", F.explode(F.sequence(F.lit(0), turns[F.col("list")] - 1)))
-    right = probes.withColumn("turn", F.pmod(F.xxhash64("vec_id"), turns[F.col("list")]).cast("int"))
-    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), parts[F.col("list")] - 1)))
+    asked = probes.groupBy("list").count().collect()  # at most MAX_LISTS rows
+    cut = [(r["list"], max(1, -(-int(sizes[r["list"]]) // CHUNK)), -(-r["count"] // QUERIES)) for r in asked]
+    # Into how many chunks each list that is read, and the queries that read it, are cut.
+    cut = F.broadcast(vectors.sparkSession.createDataFrame(cut, "list int, parts int, turns int"))
+    hashed = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    left = members.join(cut, "list").withColumns({"chunk": hashed("parts"), "turn": F.explode(F.sequence(F.lit(0), F.col("turns") - 1))})
+    right = probes.join(cut, "list").withColumns({"turn": hashed("turns"), "chunk": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
     names = ["list", "chunk", "turn", "vec_id", "x"]
     both = left.select(*names, "code", "ids", F.lit(False).alias("asked")).unionAll(right.select(*names, F.lit(None).cast("binary").alias("code"), F.lit(None).cast("array<long>").alias("ids"), F.lit(True).alias("asked")))
     found = grouped(both, ["list", "chunk", "turn"], _search(index, k), "query_id long, vec_id long, score double")

@@ -29,7 +29,7 @@ def test_chunks_and_turns(spark, monkeypatch):
     monkeypatch.setattr(ivfpq, "CHUNK", 30)
     monkeypatch.setattr(ivfpq, "QUERIES", 7)
     monkeypatch.setattr(ivfpq, "RECALL", 1.0)
-    monkeypatch.setattr(ivfpq, "RERANK", 1.0)
+    monkeypatch.setattr(ivfpq, "RERANK", 10_000)
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = df.collect()
     ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64)
@@ -83,3 +83,28 @@ def test_ties_at_the_cut_are_measured():
         group["x"] = ivfpq.pa.array(group["x"], ivfpq.pa.list_(ivfpq.pa.float64()))
         found = ivfpq._search(index, 10)(ivfpq.pa.table(group))
         assert found.column("vec_id").to_pylist() == want.tolist()
+
+
+def test_bad_vectors_do_not_fill_the_sample(spark, monkeypatch):
+    """Zero, null and infinite vectors by the hundred: the sample holds usable ones only, so all of those are found."""
+    monkeypatch.setattr(ivfpq, "FIT_ROWS", 20)
+    rng = np.random.default_rng(3)
+    bad = [[0.0] * 8, None, [float("inf")] * 8, [None] + [1.0] * 7, []]
+    good = [(1000 + i, rng.normal(size=8).tolist()) for i in range(20)]
+    rows = [(i, bad[i % 5]) for i in range(600)] + good
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ivfpq.search(df, df.where("vec_id = 1000 or vec_id = 0"), 5).collect()
+    x, ids = np.array([v for _, v in good]), [i for i, _ in good]
+    assert answers(got) == {1000: brute(x, ids, 1000, 5)}
+
+
+def test_recall_on_clustered_vectors_from_few_lists(spark):
+    """Vectors in clusters: the share of rows read is small, the exact measures are a constant number a chunk, and recall holds."""
+    rng = np.random.default_rng(12)
+    x = (rng.normal(size=(40, 32))[rng.integers(0, 40, 6000)] + 0.15 * rng.normal(size=(6000, 32))).astype(np.float64)
+    index = ivfpq.build(x, 77)
+    assert ivfpq.probe_share(index, x, 10) < 0.15
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = answers(ivfpq.search(df, df.where("vec_id % 100 = 0"), 10).collect())
+    hits = sum(len({v for _, v in got[q]} & {v for _, v in brute(x, list(range(6000)), q, 10)}) for q in range(0, 6000, 100))
+    assert hits >= 0.9 * 600
