@@ -1,7 +1,7 @@
 """Packing token sequences into fixed windows by best-fit decreasing.
 
-Each document is tokenized once; overlong ones are cut into full windows and a rest. Only piece lengths are packed: hashed into groups
-of bounded size, each group packed on its own by a segment tree over remaining capacities, so no task sees all pieces
+Each document is tokenized once; overlong ones are cut into full windows and a rest. Only piece lengths are packed: dealt by their rows into groups
+of bounded size, each group packed on its own by a segment tree over remaining capacities, so no task sees all pieces, equal ones among them,
 and the loss is at most a few open windows per group.
 """
 
@@ -111,14 +111,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2)
     """Packs each row of ``docs`` (doc_id, text), tokenized by the file ``tokenizer`` and ended by ``end_id``, into windows of ``capacity``.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null or empty text is the end id
-    alone. Repeated rows and null doc_ids are packed like others. sequence_id is unique, not gapless: the group's number in the high 32 bits.
+    alone. Repeated rows and null doc_ids are packed like others. Ids are those of ``tokenizer``, whatever its rules (``tokens.by_words`` tells which are fast). sequence_id is unique, not gapless: the group's number in the high 32 bits.
     An empty table gives an empty result.
     """
     has_columns(docs, "doc_id", "text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = durable(docs.transform(in_batches, _pieces(tokenizer, capacity, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    pieces = docs.transform(in_batches, _pieces(tokenizer, capacity, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    # A number of the row's own, written with it, deals equal pieces out like any others.
+    pieces = durable(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // GROUP))
-    # The checksum spreads pieces that share doc_id and start; the number of groups follows the input.
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int")
+    part = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return pieces.withColumn("part", part).groupBy("part").applyInArrow(_pack(capacity), out)
+    return pieces.withColumn("part", part).drop("row").groupBy("part").applyInArrow(_pack(capacity), out)

@@ -1,12 +1,13 @@
 """Tokenizing whole columns with a word-level BPE file: each distinct word of a slice is encoded once.
 
-The file's rules make this exact: its normalizer and its splitter never look across white space, and its model never looks across
-the pieces that the splitter makes. Words of Latin letters, ASCII digits and marks are split by the same pattern here and
+Rules of a kind (RULES) make this exact: their normalizer and their splitter never look across white space, and their model never looks across
+the pieces that the splitter makes. A file with any other rules has its whole texts encoded by the tokenizer itself. Words of Latin letters, ASCII digits and marks are split by the same pattern here and
 their pieces go straight to the model; any other word goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import threading
 from itertools import chain
 
@@ -25,6 +26,28 @@ _PIECE, _SPACED = rf"('s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s0-9{_LATIN}]
 #: Printable ASCII and Latin letters: no combining marks, no white space, no other numbers or letters. A '<' may open an added token.
 _PLAIN = "^[!-;=-~ßà-öø-ÿÀ-ÖØ-Þ]+$"
 
+#: The normalizer, splitter and kind of model that words may be encoded one by one under.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
+def by_words(rules: dict) -> bool:
+    """True if a tokenizer's file has RULES, a merging model without chance in it, and no added token that white space or lower case could reach into."""
+    model, added = rules.get("model") or {}, rules.get("added_tokens") or []
+    exact = model.get("type") == "BPE" and not model.get("dropout") and not model.get("unk_token")
+    plain = all(t["content"].startswith("<") and not t["content"].isspace() and " " not in t["content"] and not any(t[k] for k in ("lstrip", "rstrip", "normalized", "single_word")) for t in added)
+    return exact and plain and all(rules.get(k) == v for k, v in RULES.items())
+
 
 def _byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
@@ -39,6 +62,7 @@ class WordTokenizer:
 
     def __init__(self, path: str) -> None:
         self.full = Tokenizer.from_file(path)
+        self.by_words = by_words(json.loads(self.full.to_str()))
         self.model = self.full.model
         self.letters = _byte_letters()
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -87,6 +111,10 @@ class WordTokenizer:
 
     def encode(self, text: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's begin (and the end)."""
+        if not self.by_words:
+            each = [self.full.encode(t or "", add_special_tokens=False).ids + ([] if end_id is None else [end_id]) for t in text.to_pylist()]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+            return np.fromiter(chain.from_iterable(each), np.int64, int(bounds[-1])), bounds
         flat, at = words(text)
         coded = flat.dictionary_encode()
         pool, size = self._words(coded.dictionary)

@@ -79,6 +79,23 @@ class DoubleArray:
         return np.where((state > 0) & (code > 0) & (self.check[child] == state), child, 0)
 
 
+def log_scores(raw: list[float], pieces: list[str], special: set[int]) -> list[float]:
+    """A file's scores as log scores: merge ranks (whole numbers, another one for each piece in use) by Zipf's law, true log scores as they are.
+
+    A vocabulary of true log scores whose pieces reach across white space is a ValueError, as its segments can't be solved one by one.
+    """
+    used = [i for i in range(len(raw)) if i not in special and raw[i] > NEVER]
+    if all(float(raw[i]).is_integer() for i in used) and len({raw[i] for i in used}) == len(used) > 1:
+        scores = [s if s <= NEVER else -float(np.log(2 - s)) for s in raw]
+        # The marker itself has no rank, as it is no merge: it ranks last.
+        if MARK in pieces:
+            scores[pieces.index(MARK)] = min(scores[i] for i in used)
+        return scores
+    if across := [pieces[i] for i in used if MARK in pieces[i][1:]]:
+        raise ValueError(f"pieces across white space: {across[:3]}")
+    return [float(s) for s in raw]
+
+
 class Unigram:
     _made: dict[str, Unigram] = {}
     _lock = threading.Lock()
@@ -104,10 +121,7 @@ class Unigram:
                 m = sentencepiece.SentencePieceProcessor(model_file=path)
                 n = m.get_piece_size()
                 special = {i for i in range(n) if m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)}
-                raw = [m.get_score(i) for i in range(n)]
-                scores = [s if s <= NEVER else -float(np.log(2 - s)) for s in raw]
-                # The marker itself has no rank, as it is no merge: it ranks last.
-                scores[m.piece_to_id(MARK)] = min(s for s in scores if s > NEVER)
+                scores = log_scores([m.get_score(i) for i in range(n)], [m.id_to_piece(i) for i in range(n)], special)
                 bytes_ = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
                 cls._made[path] = cls([m.id_to_piece(i) for i in range(n)], scores, bytes_ if all(m.is_byte(i) for i in bytes_) else None, special)
             return cls._made[path]

@@ -79,3 +79,23 @@ def test_edge_cases(spark, monkeypatch):
     twice = packing.pack(df.union(df).selectExpr("cast(null as long) doc_id", "text"), PATH, 16).collect()
     assert all(r.doc_id is None for r in twice) and len({(r.sequence_id, r.offset) for r in twice}) == len(twice)
     assert packing.pack(df.limit(0), PATH).collect() == []
+
+
+def test_other_tokenizers_give_their_own_ids():
+    """A file with other rules is not taken for one that may be encoded word by word."""
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert WordTokenizer.at(PATH).by_words and not WordTokenizer.at(other).by_words
+    full = Tokenizer.from_file(other)
+    ids, at = WordTokenizer.at(other).encode(pa.array(ODD, pa.string()), 2)
+    for i, t in enumerate(ODD):
+        assert ids[at[i] : at[i + 1]].tolist() == [*full.encode(t or "", add_special_tokens=False).ids, 2]
+
+
+def test_equal_rows_are_dealt_out(spark, monkeypatch):
+    """500 equal rows share no group of more than a few times its size."""
+    monkeypatch.setattr(packing, "GROUP", 10)
+    df = spark.range(500).selectExpr("cast(7 as long) as doc_id", "'the same text' as text")
+    groups = defaultdict(int)
+    for r in packing.pack(df, PATH, 16).collect():
+        groups[r.sequence_id >> 32] += 1
+    assert sum(groups.values()) == 500 and max(groups.values()) <= 40 and len(groups) >= 40

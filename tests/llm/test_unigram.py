@@ -139,3 +139,12 @@ def test_double_array_finds_every_key_and_nothing_else():
             state = trie.step(state, np.array([c]))
         assert (trie.value[state[0]] if state[0] else -1) == want.get(tuple(k), -1)
     assert NEVER < 0
+
+
+def test_true_log_scores_stay():
+    """Ranks become log scores; a file that has log scores keeps them, and pieces across white space are refused there."""
+    assert unigram.log_scores([-0.5, -2.25, -1.5], [MARK + "a", "b", MARK], set()) == [-0.5, -2.25, -1.5]
+    ranked = unigram.log_scores([0.0, -1.0, -2.0, -3.0, 0.0], [MARK + "a", "b", MARK, "c", "<s>"], {4})
+    assert np.allclose(ranked[:2], [-np.log(2), -np.log(3)]) and ranked[2] == ranked[3] == min(ranked)
+    with pytest.raises(ValueError):
+        unigram.log_scores([-0.5, -2.25], [MARK + "a" + MARK, "b"], set())
