@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..storage import durable, only, release, shared_dir
 
-__all__ = ["durable", "grouped", "has_columns", "in_batches", "mix", "only", "release", "seed", "shared_dir", "slices", "words"]
+__all__ = ["durable", "grouped", "has_columns", "in_batches", "labelled", "mix", "only", "release", "seed", "shared_dir", "slices", "words"]
 #: Rows that Spark hands to Python at once: texts of some kilobytes make batches of about a megabyte, on both sides of the pipe.
 BATCH_ROWS = 500
 
@@ -111,6 +112,21 @@ def grouped(df: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Table],
     return df.repartition(*keys).sortWithinPartitions(*keys).transform(in_batches, each, schema)
 
 
+def labelled(rows: DataFrame, of: DataFrame, **otherwise: Column) -> DataFrame:
+    """``rows`` (d1, d2, known, ...) with the columns of ``otherwise``: those of their digest in ``of`` (d1, d2, weight, ...), or the given ones for rows that aren't ``known``.
+
+    Digests of many rows are few, so they are broadcast and their rows stay where they are; the others bring few rows together.
+    """
+    # So many rows or more make a digest a large one; there are 500,000 such at most, whatever the number of rows.
+    large = max(1000, rows.count() // 500_000)
+    of = durable(of, "labels")
+    many, few = (of.where(w).select("d1", "d2", *otherwise) for w in (F.col("weight") >= large, F.col("weight") < large))
+    asking = rows.where("known")
+    big = asking.join(F.broadcast(many), ["d1", "d2"])
+    rest = asking.join(F.broadcast(many.select("d1", "d2")), ["d1", "d2"], "left_anti").join(few, ["d1", "d2"])
+    return big.unionByName(rest).unionByName(rows.where("not known").withColumns(otherwise))
+
+
 def has_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

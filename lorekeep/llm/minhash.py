@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import durable, grouped, has_columns, in_batches, mix, only, release, seed, slices, words
+from .common import durable, grouped, has_columns, in_batches, labelled, mix, only, release, seed, slices, words
 
 MISS = 2e-6
 #: Shingles in one side of a block of a crowded bucket: 4 MB of hashes.
@@ -233,21 +233,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     low = components(links.select(F.col("rep").alias("a"), F.col("crep").alias("b")).unionAll(more))
     release(members, placed, involved, sets, links)
     of = classes.join(low.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "weight", F.coalesce("component", "rep").alias("low"))
-    return _labelled(all_, of)
-
-
-def _labelled(all_: DataFrame, of: DataFrame) -> DataFrame:
-    """The rows of ``all_`` with what ``of`` tells of their digest. Digests of many rows are few, so they are broadcast, and their rows go nowhere."""
-    # So many rows or more make a digest a large one; there are 500,000 such at most, whatever the number of rows.
-    large = max(1000, all_.count() // 500_000)
-    of = durable(of, "labels")
-    rows = all_.select("doc_id", "n_shingles", "d1", "d2")
-    labelled = F.expr("doc_id is not null and n_shingles > 0")
-    many = F.broadcast(of.where(F.col("weight") >= large).select("d1", "d2", "low"))
-    few = of.where(F.col("weight") < large).select("d1", "d2", "low")
-    asking = rows.where(labelled)
-    parts = (asking.join(many, ["d1", "d2"]), asking.join(many, ["d1", "d2"], "left_anti").join(few, ["d1", "d2"]), rows.where(~labelled).withColumn("low", F.col("doc_id")))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # An empty set's digest is never in classes: its row stands for itself.
+    out = labelled(all_.select("doc_id", "n_shingles", "d1", "d2", F.expr("doc_id is not null and n_shingles > 0").alias("known")), of, low=F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.col("low").alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
 
 

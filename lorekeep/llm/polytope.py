@@ -1,15 +1,15 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
 A hash rotates a vector by three rounds of random signs and a fast Hadamard transform and takes the closest signed axis. Each
-table joins HASHES of them; a vector is stored under its own code and under the PROBES codes next in line (those whose
-axes lose least), and two vectors meet in a bucket that is the own code of at least one. So many
+table joins several of them, HASHES or so many more that the table has as many buckets as there are vectors; a vector is stored under its own code and under
+the PROBES codes next in line (those whose axes lose least), and two vectors meet in a bucket that is the own code of at least one. So many
 tables are made that two vectors in random directions right at the threshold fail to meet with a probability below MISS, closer ones far less: how
 often they meet in one table is measured for the threshold and each width. For 64 dimensions and a cosine of 0.9 these are 24.
 A threshold that asks for more than MOST tables is refused.
 
-Equal vectors are one class with a weight. Buckets of two whose sign sketches already rule out the threshold fall away; the others
-are cut into blocks of bounded size, and each block computes exact cosines in double precision. A pair that meets in
-several buckets counts in the first of them alone, which both codes tell without any exchange; so links are counted, not listed.
+Equal vectors are one class with a weight. A vector is hashed once; its codes go with it into the buckets. Of buckets with the same members, only the one with
+the smallest key is looked at. Buckets are cut into blocks of bounded size, and each block computes exact cosines in double precision. A pair that meets in
+several buckets counts in the one with the smallest key, which the codes tell without any exchange; so links are counted, not listed.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import durable, grouped, has_columns, in_batches
+from .common import durable, has_columns, in_batches, labelled
 
 HASHES, TABLES, PROBES = 3, 24, 4
 #: Probability that a pair at the threshold never meets, and the most tables made for it; TABLES are the least.
@@ -35,27 +35,40 @@ MISS, MOST = 2e-5, 256
 BLOCK = 2048
 #: Axes of each hash that a probe may take.
 NEXT = 3
+#: Members of a bucket up to which pairs are formed together with those of other buckets, rows that are looked at together, and pairs compared at once.
+SMALL, ROWS, PAIRS = 32, 4000, 100_000
+#: Vectors that take part: not empty, all components there and finite, not all of them zero.
+USABLE = "coalesce(size(embedding) > 0 and forall(embedding, x -> x is not null and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0), false)"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Along the last axis, whose length is a power of two."""
-    n, h = x.shape[-1], 1
+    """Along the first axis, whose length is a power of two."""
+    n, h = len(x), 1
+    spare = np.empty_like(x)
     while h < n:
-        y = x.reshape(*x.shape[:-1], n // (2 * h), 2, h)
-        x = np.stack([y[..., 0, :] + y[..., 1, :], y[..., 0, :] - y[..., 1, :]], -2).reshape(x.shape)
+        a, b = x.reshape(n // (2 * h), 2, h, *x.shape[1:]), spare.reshape(n // (2 * h), 2, h, *x.shape[1:])
+        np.add(a[:, 0], a[:, 1], out=b[:, 0])
+        np.subtract(a[:, 0], a[:, 1], out=b[:, 1])
+        x, spare = spare, x
         h *= 2
     return x
 
 
 @lru_cache(maxsize=4)
-def signs(dim: int, tables: int) -> np.ndarray:
-    return np.random.default_rng(20).choice([-1.0, 1.0], size=(tables, HASHES, 3, dim))
+def signs(dim: int, tables: int, hashes: int) -> np.ndarray:
+    """(tables, rounds, dim, hashes, 1) random signs."""
+    return np.random.default_rng(20).choice(np.array([-1, 1], np.float32), size=(tables, 3, dim, hashes, 1))
 
 
 def padded(width: int) -> int:
     return 1 << max(2, (width - 1).bit_length())
 
 
+def hashes_for(rows: int, dim: int) -> int:
+    """So many hashes that a table has a bucket for each row."""
+    return max(HASHES, math.ceil(math.log(max(rows, 2)) / math.log(2 * dim)))
+
+
 def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(rows, tables): whether the vectors of two code arrays meet."""
     return (b == a[:, :, :1]).any(axis=2) | (a == b[:, :, :1]).any(axis=2)
@@ -69,10 +82,10 @@ def pairs_at(cosine: float, dim: int, n: int, rng: np.random.Generator) -> tuple
 
 
 @lru_cache(maxsize=64)
-def tables_for(cosine: float, dim: int) -> int:
+def tables_for(cosine: float, dim: int, hashes: int = HASHES) -> int:
     """Tables that let a pair at the threshold miss with a probability below MISS."""
     a, b = pairs_at(max(-1.0, min(1.0, cosine)), dim, max(200, 2000 * 64 // max(dim, 64)), np.random.default_rng(22))
-    met = meet(codes(a, TABLES), codes(b, TABLES))
+    met = meet(codes(a, TABLES, hashes), codes(b, TABLES, hashes))
     # Three deviations less than measured.
     rate = met.mean() - 3 * math.sqrt(met.mean() * (1 - met.mean()) / met.size)
     needed = TABLES if rate >= 1 else math.ceil(math.log(MISS) / math.log1p(-rate)) if rate > 0 else math.inf
@@ -81,44 +94,46 @@ def tables_for(cosine: float, dim: int) -> int:
     return max(TABLES, needed)
 
 
-def codes(x: np.ndarray, tables: int) -> np.ndarray:
-    """(rows, tables, 1 + PROBES) bucket keys; the first of each table is the vector's own."""
+@lru_cache(maxsize=8)
+def choices(hashes: int) -> np.ndarray:
+    """Which axis (0 is the closest) each hash of a code may take: the own code, then all that fewer than PROBES others are sure to lose less than."""
+    all_ = sorted(product(range(NEXT), repeat=hashes), key=lambda c: (sum(c), c))
+    surely_better = [sum(all(x <= y for x, y in zip(o, c)) for o in all_ if any(o) and o != c) for c in all_]
+    return np.array([c for c, n in zip(all_, surely_better) if n < PROBES])
+
+
+def codes(x: np.ndarray, tables: int, hashes: int = HASHES) -> np.ndarray:
+    """(rows, tables, 1 + PROBES) bucket keys; the first of each table is the vector's own, and tables with higher numbers have larger keys."""
     n, width = x.shape
     dim = padded(width)
-    x = np.pad(x, ((0, 0), (0, dim - width)))
+    wide = np.zeros((dim, 1, n), np.float32)
+    wide[:width, 0] = x.T
     out = np.empty((n, tables, 1 + PROBES), np.int64)
-    combos = list(product(range(NEXT), repeat=HASHES))
+    choice, row = choices(hashes), np.arange(n)
+    place = (2 * dim) ** np.arange(hashes, dtype=np.int64)
     for t in range(tables):
-        value, axis = [], []
-        for s in signs(dim, tables)[t]:
-            y = hadamard(hadamard(hadamard(x * s[0]) * s[1]) * s[2])
-            size = np.abs(y)
-            best = np.empty((n, NEXT), np.int64)
-            for j in range(NEXT):  # argmax takes the first of equals, whatever the batch
-                best[:, j] = size.argmax(axis=1)
-                size[np.arange(n), best[:, j]] *= -1
-            value.append(-np.take_along_axis(size, best, 1))
-            axis.append(2 * best + (np.take_along_axis(y, best, 1) < 0))
-        loss = np.stack([sum((value[k][:, 0] - value[k][:, c[k]]) ** 2 for k in range(HASHES)) for c in combos], 1)
+        y = wide
+        for s in signs(dim, tables, hashes)[t]:
+            y = hadamard(y * s)
+        loss, key = np.zeros((n, len(choice)), np.float32), np.zeros((n, len(choice)), np.int64)
+        for k in range(hashes):
+            turned = np.ascontiguousarray(y[:, k].T)
+            size = np.abs(turned)
+            value, axis = np.empty((n, NEXT), np.float32), np.empty((n, NEXT), np.int64)
+            for j in range(NEXT):
+                best = size.argmax(axis=1)
+                value[:, j] = size[row, best]
+                axis[:, j] = 2 * best + (turned[row, best] < 0)
+                size[row, best] = -1
+            lost = (value[:, :1] - value) ** 2
+            loss += lost[:, choice[:, k]]
+            key += place[k] * axis[:, choice[:, k]]
         loss[:, 0] = -1
-        key = np.stack([sum(axis[k][:, c[k]] * (2 * dim) ** k for k in range(HASHES)) for c in combos], 1)
         top = np.argsort(loss, axis=1, kind="stable")[:, : 1 + PROBES]
-        out[:, t] = t * (2 * dim) ** HASHES + np.take_along_axis(key, top, 1)
+        out[:, t] = t * (2 * dim) ** hashes + np.take_along_axis(key, top, 1)
     return out
 
 
-def sketch_bits(x: np.ndarray) -> np.ndarray:
-    """64 signs of random projections of each row."""
-    plane = np.random.default_rng(21).normal(size=(x.shape[1], 64))
-    return ((x @ plane) >= 0).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))
-
-
-def far_bits(cosine: float) -> int:
-    """So many differing signs that a pair at the threshold has more with a probability below 1e-6."""
-    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-    return min(64, math.ceil(64 * p + 5.2 * math.sqrt(64 * p * (1 - p)) + 1))
-
-
 def read_vectors(column: pa.Array) -> tuple[list[np.ndarray | None], np.ndarray]:
     """Each row's vector in double precision, or None if it is null, empty or zero or has a null or non-finite component."""
     out = []
@@ -132,88 +147,145 @@ def read_vectors(column: pa.Array) -> tuple[list[np.ndarray | None], np.ndarray]
     return out, np.array([x is not None for x in out], bool)
 
 
+def by_width(column: pa.Array, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of each length and their vectors in double precision; no row may be null or hold a null."""
+    width = column.value_lengths().to_numpy(zero_copy_only=False)
+    for w in np.unique(width[rows]).tolist():
+        at = rows[width[rows] == w]
+        yield at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), int(w))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1; scaled first, as squares may overflow."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _hash_all(tables: dict[int, int]):
+def _hash_all(settings: dict[int, tuple[int, int]]):
+    """settings: tables and hashes of each padded width."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                vectors, ok = read_vectors(part.column("embedding"))
-                n = part.num_rows
-                digest = np.zeros((n, 2), np.int64)
-                bits, keys, units = np.zeros(n, np.int64), [None] * n, [None] * n
-                by_width: dict[int, list[int]] = {}
-                for i in np.flatnonzero(ok).tolist():
-                    by_width.setdefault(len(vectors[i]), []).append(i)
-                for rows in by_width.values():
-                    x = unit(np.stack([vectors[i] for i in rows]))
-                    for i, u, b, c in zip(rows, x, sketch_bits(x).astype(np.int64), codes(x, tables[padded(x.shape[1])])):
-                        digest[i] = np.frombuffer(xxhash.xxh3_128_digest(vectors[i].tobytes()), np.int64)
-                        bits[i], keys[i], units[i] = b, c.ravel(), u
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id"), pa.array(ok), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(bits), pa.array(keys, pa.list_(pa.int64())), pa.array(units, pa.list_(pa.float64()))],
-                    names=["vec_id", "ok", "d1", "d2", "bits", "keys", "unit"],
-                )
+            column, n = batch.column("embedding"), batch.num_rows
+            digest, keys = np.zeros((n, 2), np.int64), [None] * n
+            for rows, x in by_width(column, np.flatnonzero(batch.column("ok").to_numpy(zero_copy_only=False))):
+                for i, v, c in zip(rows.tolist(), x, codes(unit(x), *settings[padded(x.shape[1])])):
+                    digest[i] = np.frombuffer(xxhash.xxh3_128_digest(v.tobytes()), np.int64)
+                    keys[i] = c.ravel()
+            new = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("ok"), *new, column], names=["vec_id", "ok", "d1", "d2", "keys", "embedding"])
 
     return run
 
 
-def block(ids, own, chunk, p, q, x, weight, key, cosine, tables):
-    """Of one bucket's block: (id, number of links) and (id, id) edges that connect what is linked, for the pairs that count here."""
-    left, right = np.flatnonzero(chunk == p), np.flatnonzero(chunk == q)
-    near = (x[left] @ x[right].T >= cosine) & (own[left][:, None] | own[right])
-    if p == q:
-        near &= np.arange(len(left))[:, None] < np.arange(len(right))
-    i, j = np.nonzero(near)
-    if not len(i):
-        return [], [], [], []
-    i, j = left[i], right[j]
-    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-    code = codes(x[used], tables)
-    a, b = place[: len(i)], place[len(i) :]
-    mine, open_ = np.zeros(len(i), bool), np.arange(len(i))
-    for t in range(tables):  # the first table where they meet, and there the smaller key
-        ka, kb = code[a[open_], t], code[b[open_], t]
-        none = np.iinfo(np.int64).max
+def first_meeting(i: np.ndarray, j: np.ndarray, code: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether ``key`` is the smallest that each pair (i, j) meets in. code: (rows, tables, 1 + PROBES)."""
+    mine, open_, none = np.zeros(len(i), bool), np.arange(len(i)), np.iinfo(np.int64).max
+    for t in range(code.shape[1]):
+        ka, kb = code[i[open_], t], code[j[open_], t]
         first = np.minimum(np.where((kb == ka[:, :1]).any(axis=1), ka[:, 0], none), np.where((ka == kb[:, :1]).any(axis=1), kb[:, 0], none))
-        mine[open_[first == key]] = True
+        mine[open_[first == key[open_]]] = True
         open_ = open_[first == none]
         if not len(open_):
             break
-    i, j = i[mine], j[mine]
-    count = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-    low = np.arange(len(ids))
-    while True:
-        new = low.copy()
-        np.minimum.at(new, i, low[j])
-        np.minimum.at(new, j, low[i])
-        new = new[new]
-        if (new == low).all():
+    return mine
+
+
+def _near_pairs(x, own, group, side, cosine) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group (groups are runs of rows) at or above the cosine, one of them with its own code. side: 1 and 2 are compared with each other, 0 with all."""
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[start, len(group)])
+    small = np.repeat(size <= SMALL, size)
+    for d in range(1, SMALL):
+        i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
+        if not len(i):
             break
-        low = new
-    return np.flatnonzero(count), count, np.flatnonzero(low != np.arange(len(ids))), low
+        i = i[(own[i] | own[i + d]) & ((side[i] == 0) | (side[i] != side[i + d]))]
+        near = np.einsum("ij,ij->i", x[i], x[i + d]) >= cosine
+        yield i[near], i[near] + d
+    for a, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        rows = np.arange(a, a + n)
+        left, right = (rows, rows) if side[a] == 0 else (rows[side[a : a + n] == 1], rows[side[a : a + n] == 2])
+        if not len(right):
+            continue
+        step = max(1, PAIRS // len(right))
+        for b in range(0, len(left), step):
+            part = left[b : b + step]
+            near = (x[part] @ x[right].T >= cosine) & (own[part][:, None] | own[right])
+            if side[a] == 0:
+                near &= part[:, None] < right
+            i, j = np.nonzero(near)
+            yield part[i], right[j]
+
+
+def _looked_at(group: pa.Table, cosine: float, tables: dict[int, int]) -> pa.Table:
+    """Of whole groups (key, p, q): (class, null, links) counts, and (id, id, 0) edges that connect what is linked, for the pairs that count here."""
+    group = group.combine_chunks()
+    column = group.column("embedding").chunk(0)
+    width = column.value_lengths().to_numpy(zero_copy_only=False)
+    if (width != width[0]).any():  # vectors of different lengths never meet; their codes collide at most by chance
+        return pa.concat_tables([_looked_at(group.filter(pa.array(width == w)), cosine, tables) for w in np.unique(width)])
+    n = len(width)
+    x = unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1))
+    cid, rep, key, weight, own, chunk, p, q = (group.column(c).to_numpy() for c in ("cid", "rep", "key", "weight", "own", "chunk", "p", "q"))
+    # Keys of later tables are larger, so codes end with the bucket's own table. Shorter ones are padded by what no key is.
+    held = group.column("keys").chunk(0)
+    long_ = held.value_lengths().to_numpy(zero_copy_only=False)
+    most = tables[padded(int(width[0]))]
+    code = np.full((n, most * (1 + PROBES)), -1, np.int64)
+    code[np.arange(most * (1 + PROBES)) < long_[:, None]] = held.flatten().to_numpy()
+    code = code.reshape(n, most, 1 + PROBES)
+    code[:, :, 0][code[:, :, 0] < 0] = -2
+    change = np.r_[False, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]
+    side = np.where(p == q, 0, np.where(chunk == p, 1, 2))
+    count, low = np.zeros(n), np.arange(n)
+    for i, j in _near_pairs(x, own, np.cumsum(change), side, cosine):
+        mine = first_meeting(i, j, code, key[i])
+        i, j = i[mine], j[mine]
+        count += np.bincount(i, weight[j], n) + np.bincount(j, weight[i], n)
+        while True:
+            new = low.copy()
+            np.minimum.at(new, i, low[j])
+            np.minimum.at(new, j, low[i])
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+    # Labels of pairs looked at earlier may have moved on.
+    while (low[low] != low).any():
+        low = low[low]
+    rows, tied = np.flatnonzero(count), np.flatnonzero(low != np.arange(n))
+    b = pa.array(np.concatenate([np.zeros(len(rows), np.int64), rep[low[tied]]]), mask=np.arange(len(rows) + len(tied)) < len(rows))
+    return pa.table({"a": pa.array(np.concatenate([cid[rows], rep[tied]]).astype(np.int64)), "b": b, "n": pa.array(np.concatenate([count[rows], np.zeros(len(tied))]).astype(np.int64))})
 
 
 def _blocks(cosine: float, tables: dict[int, int]):
-    def run(group: pa.Table) -> pa.Table:
-        g = {n: group.column(n) for n in group.column_names}
-        ids, p, q, key = g["rep"].to_numpy(), g["p"][0].as_py(), g["q"][0].as_py(), g["key"][0].as_py()
-        x = np.array(g["unit"].combine_chunks().values.to_numpy(zero_copy_only=False)).reshape(len(ids), -1) if len({len(v) for v in g["unit"]}) == 1 else None
-        if x is None:  # vectors of different lengths never meet; their codes collide at most by chance
-            width = np.array([len(v) for v in g["unit"]])
-            return pa.concat_tables([run(group.filter(pa.array(width == w))) for w in np.unique(width)])
-        found = block(ids, g["own"].to_numpy(), g["chunk"].to_numpy(), p, q, x, g["weight"].to_numpy(), key, cosine, tables[padded(x.shape[1])])
-        if not len(found[0]):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        rows, count, tied, low = found
-        a = np.concatenate([ids[rows], ids[tied]])
-        b = pa.array([None] * len(rows) + ids[low[tied]].tolist(), pa.int64())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": b, "n": pa.array(np.concatenate([count[rows], np.zeros(len(tied))]).astype(np.int64))})
+    """Over rows sorted by key, p and q: many small groups are looked at together, a group never in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).to_numpy() for c in ("key", "p", "q")]
+            if rows >= ROWS:
+                first = tuple(k[0] for k in keys)
+                same = np.ones(batch.num_rows, bool)
+                for k, v in zip(keys, last):
+                    same &= k == v
+                cut = int(same.sum()) if first == last else 0  # the rest of the group that is open
+                if cut < batch.num_rows:
+                    if cut:
+                        held.append(batch.slice(0, cut))
+                    yield from _looked_at(pa.Table.from_batches(held), cosine, tables).to_batches()
+                    held, rows, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            rows += batch.num_rows
+            last = tuple(k[-1] for k in keys)
+        if held:
+            yield from _looked_at(pa.Table.from_batches(held), cosine, tables).to_batches()
 
     return run
 
@@ -222,32 +294,44 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """Links of the rows of ``vectors`` (vec_id, embedding) at a cosine of at least ``cosine``: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty or zero or hold a null or non-finite component link with nothing, nor do vectors of different lengths.
-    Repeated rows are vectors of their own that link with each other. A row with a null vec_id links with nothing,
+    Repeated rows are vectors of their own that link with each other; rows that share a vec_id but not their vector are counted each for itself, and what one
+    of them reaches, the id reaches. A row with a null vec_id links with nothing,
     gets a null component_id and is kept. An empty table gives an empty result. A threshold too low for MOST tables at a width is a ValueError.
     """
     has_columns(vectors, "vec_id", "embedding")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    schema = "vec_id long, ok boolean, d1 long, d2 long, bits long, keys array<long>, unit array<double>"
-    whole = rows.where("size(embedding) > 0 and forall(embedding, x -> x is not null and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
-    bits = whole.select(F.length(F.bin(F.size("embedding") - 1)).alias("bits")).distinct().collect()  # as padded() has them: 32 rows at most
-    tables = {dim: tables_for(cosine, dim) for dim in {1 << max(2, r["bits"]) for r in bits}}
-    all_ = durable(rows.transform(in_batches, _hash_all(tables), schema), "codes")
+    given = dict(vectors.dtypes)["embedding"]
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(given if given == "array<float>" else "array<double>").alias("embedding")).withColumn("ok", F.expr(USABLE))
+    # As padded() has them: 32 rows at most.
+    counts = rows.where("ok").groupBy(F.length(F.bin(F.size("embedding") - 1)).alias("bits")).count().collect()
+    dims = {1 << max(2, r["bits"]): 0 for r in counts}
+    for r in counts:
+        dims[1 << max(2, r["bits"])] += r["count"]
+    hashes = {dim: hashes_for(n, dim) for dim, n in dims.items()}
+    tables = {dim: tables_for(cosine, dim, hashes[dim]) for dim in dims}
+    schema = f"vec_id long, ok boolean, d1 long, d2 long, keys array<long>, embedding {dict(rows.dtypes)['embedding']}"
+    hashed = rows.transform(in_batches, _hash_all({d: (tables[d], hashes[d]) for d in dims}), schema)
+    all_ = durable(hashed.withColumn("row", F.monotonically_increasing_id()), "codes")
     named = all_.where("ok and vec_id is not null")
-    classes = durable(named.groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
-    reps = named.withColumnRenamed("vec_id", "rep").join(classes, ["d1", "d2", "rep"]).dropDuplicates(["d1", "d2"])
-    spread = reps.select("rep", "bits", F.posexplode("keys").alias("at", "key")).withColumn("own", F.col("at") % (1 + PROBES) == 0)
-    crowded = spread.groupBy("key").agg(F.count("*").alias("c"), F.count_if("own").alias("owns"), F.bit_xor("bits").alias("x"))
-    crowded = crowded.where(f"c > 1 and owns > 0 and (c > 2 or bit_count(x) <= {far_bits(cosine)})").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
-    placed = spread.join(crowded, "key").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), "nb").cast("int"))
-    placed = placed.select("key", "rep", "own", "chunk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    placed = placed.select("key", "rep", "own", "chunk", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"))
-    work = placed.join(reps.select("rep", "weight", "unit"), "rep")
-    found = durable(grouped(work, ["key", "p", "q"], _blocks(cosine, tables), "a long, b long, n long"), "found")
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    # A class of equal vectors is told by a row of its own (cid).
+    classes = named.groupBy("d1", "d2").agg(F.min(F.struct("vec_id", "row")).alias("f"), F.count("*").alias("weight"))
+    classes = durable(classes.select("d1", "d2", F.col("f.vec_id").alias("rep"), F.col("f.row").alias("cid"), "weight"), "classes")
+    reps = named.withColumnRenamed("row", "cid").join(classes.select("cid", "rep", "weight"), "cid")
+    spread = reps.select("cid", F.posexplode("keys").alias("at", "key")).select("cid", "key", (F.col("at") % (1 + PROBES) == 0).alias("own"), F.floor(F.col("at") / (1 + PROBES)).cast("int").alias("table"))
+    members = spread.groupBy("key").agg(
+        F.count("*").alias("c"), F.count_if("own").alias("owns"), F.bit_xor(F.xxhash64("cid", "own")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "cid", "own")).alias("s2")
+    )
+    # Where buckets have the same members, all their pairs meet first in the smallest key.
+    crowded = members.where("c > 1 and owns > 0").groupBy("s1", "s2", "c", "owns").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+    placed = spread.join(crowded, "key").withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(5)), "nb").cast("int"))
+    placed = placed.select("key", "cid", "own", "table", "chunk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    placed = placed.select("key", "cid", "own", "table", "chunk", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"))
+    upto = F.slice("keys", F.lit(1), (F.col("table") + 1) * (1 + PROBES))
+    work = placed.join(reps.select("cid", "rep", "weight", "keys", "embedding"), "cid").select("key", "p", "q", "chunk", "own", "cid", "rep", "weight", upto.alias("keys"), "embedding")
+    sorted_ = work.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    found = durable(sorted_.transform(in_batches, _blocks(cosine, tables), "a long, b long, n long"), "found")
+    links = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
     lows = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    of = classes.join(links, "rep", "left").join(lows, "rep", "left")
-    of = of.select("d1", "d2", F.lit(True).alias("ok"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("low"))
-    out = all_.select("vec_id", "d1", "d2", F.expr("ok and vec_id is not null").alias("ok")).join(of, ["d1", "d2", "ok"], "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("low", "vec_id"))
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.expr("vec_id = component_id"), F.lit(True)))
+    of = classes.join(links, "cid", "left").join(lows, "rep", "left")
+    of = of.select("d1", "d2", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("low"))
+    out = labelled(all_.select("vec_id", "d1", "d2", F.expr("ok and vec_id is not null").alias("known")), of, links=F.lit(0), low=F.col("vec_id"))
+    return out.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("low").alias("component_id")).withColumn("kept", F.coalesce(F.expr("vec_id = component_id"), F.lit(True)))

@@ -1,3 +1,5 @@
+from itertools import product
+
 import numpy as np
 import pytest
 
@@ -58,9 +60,10 @@ def test_edge_cases(spark):
 
 
 def test_fast_transform_is_orthogonal():
-    x = np.random.default_rng(1).normal(size=(5, 64))
-    y = polytope.hadamard(x)
-    assert np.allclose((y * y).sum(1), 64 * (x * x).sum(1)) and np.allclose(polytope.hadamard(y), 64 * x)
+    x = np.random.default_rng(1).normal(size=(64, 5))
+    y = polytope.hadamard(x.copy())
+    assert np.allclose((y * y).sum(0), 64 * (x * x).sum(0)) and np.allclose(polytope.hadamard(y), 64 * x)
+    assert np.allclose(polytope.hadamard(np.eye(4)), [[1, 1, 1, 1], [1, -1, 1, -1], [1, 1, -1, -1], [1, -1, -1, 1]])
 
 
 def test_tables_follow_threshold_and_width():
@@ -72,3 +75,50 @@ def test_tables_follow_threshold_and_width():
         assert polytope.meet(polytope.codes(a, tables), polytope.codes(b, tables)).any(axis=1).all()
     with pytest.raises(ValueError):
         polytope.tables_for(0.3, 64)
+
+
+def plain_codes(x, tables, hashes):
+    """Every code of NEXT axes a hash, all of them compared: the definition."""
+    n, dim = len(x), polytope.padded(x.shape[1])
+    x = np.pad(x, ((0, 0), (0, dim - x.shape[1])))
+    h = np.array([[(-1.0) ** bin(i & j).count("1") for j in range(dim)] for i in range(dim)])
+    out = []
+    for t in range(tables):
+        s = polytope.signs(dim, tables, hashes)[t].astype(float)
+        for v in x:
+            ranked = []
+            for k in range(hashes):
+                y = h @ (s[2, :, k, 0] * (h @ (s[1, :, k, 0] * (h @ (s[0, :, k, 0] * v)))))
+                best = np.argsort(-np.abs(y), kind="stable")[: polytope.NEXT]
+                ranked.append([(abs(y[b]), 2 * b + int(y[b] < 0)) for b in best])
+            every = [(sum((ranked[k][0][0] - ranked[k][c[k]][0]) ** 2 for k in range(hashes)), sum(ranked[k][c[k]][1] * (2 * dim) ** k for k in range(hashes))) for c in product(range(polytope.NEXT), repeat=hashes)]
+            out.append([t * (2 * dim) ** hashes + key for _, key in sorted(every)[: 1 + polytope.PROBES]])
+    return np.array(out).reshape(tables, n, -1).transpose(1, 0, 2)
+
+
+def test_codes_equal_the_definition():
+    x = polytope.unit(np.random.default_rng(6).normal(size=(20, 30)))
+    for hashes in (3, 4):
+        assert (polytope.codes(x, 3, hashes) == plain_codes(x, 3, hashes)).all()
+    assert polytope.hashes_for(10**5, 64) == 3 and polytope.hashes_for(10**8, 64) == 4
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """A third of all vectors lie close together: all links among them are counted, over several blocks and many small buckets."""
+    monkeypatch.setattr(polytope, "BLOCK", 150)
+    monkeypatch.setattr(polytope, "PAIRS", 3000)
+    monkeypatch.setattr(polytope, "ROWS", 200)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(1200, 16))
+    x[::3] = x[0] + 0.02 * rng.normal(size=(400, 16))
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(5000)[:1200], x)]
+    want = brute(rows, 0.9)
+    got = result(polytope.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), 0.9))
+    assert got == want and max(n for n, _ in want.values()) >= 399
+
+
+def test_one_id_with_several_vectors(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, a), (1, b), (2, [0.01, 1.0, 0.0, 0.0]), (3, [0.0, 0.0, 1.0, 0.0]), (0, [1.0, 0.01, 0.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in polytope.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect())
+    assert got == [(0, 1, 0), (1, 1, 0), (1, 1, 0), (2, 1, 0), (3, 0, 3)]
