@@ -1,4 +1,8 @@
+import random
 import re
+import time
+
+import pytest
 
 from lorekeep.llm import queries, webtext
 from lorekeep.llm.webtext import main_text
@@ -72,3 +76,77 @@ def test_loose_names_around_an_article():
 def test_short_blocks_beside_the_article():
     assert main_text(f"<body><div><h1>Title</h1><nav>x</nav><div><p>{LONG}</p></div><nav>x</nav><p>The end.</p></div></body>") == f"Title\n\n{LONG}\n\nThe end."
     assert main_text(f"<div>Home</div><nav>x</nav><div><p>{LONG}</p></div><nav>x</nav><div><a href=/>{LONG}</a></div>") == LONG
+
+
+def test_distribution_decides_between_articles():
+    """Several article elements: those with a surge of text outside links are kept whole, cards that link elsewhere are not."""
+    card = "".join(f"<article><h3><a href=/{i}>{LONG}</a></h3><p>Short {i}</p></article>" for i in range(4))
+    assert main_text(f"<body>{card}<article><h1>T</h1><div><p>x</p></div><nav>m</nav><p>{LONG}</p><nav>m</nav><div><p>z</p></div></article>{card}</body>") == f"T\n\nx\n\n{LONG}\n\nz"
+    assert main_text(f"<article><p><a href=/>{LONG}</a></p></article>") == LONG
+    assert main_text(f"<main><article><p>{LONG}</p></article><article><p>{LONG} 2</p></article></main>") == f"{LONG}\n\n{LONG} 2"
+
+
+def test_no_length_switches():
+    """However short or long a page is, the same rules hold."""
+    for n in (1, 5, 7, 50):
+        for name in ("content-sidebar", "comments-layout", "ad-free-story"):
+            assert main_text(f'<div class="{name}">' + "".join(f"<div><p>{LONG}</p></div>" for _ in range(n)) + "</div>").count(LONG) == n, (name, n)
+    assert main_text("<body><nav>Home</nav><div><p>Hi there.</p></div></body>") == "Hi there."
+
+
+def plain_distribution(blocks):
+    """Kept texts of a page of blocks (text or None for a part that is left out), by the definition of surges and dives."""
+    rows = [x for b in blocks for x in ([""] * webtext.WINDOW if b is None else [b])]
+    window = [sum(len(x) for x in rows[i : i + webtext.WINDOW]) for i in range(len(rows))]
+    most = max(window, default=0)
+    surge = webtext.SURGE if most >= webtext.SURGE else most
+    return [x for i, x in enumerate(rows) if x and any(rows[j] and window[j] >= surge and all(window[j : i + 1]) for j in range(i + 1))]
+
+
+@pytest.mark.parametrize("around", ["", "article", "main"])
+def test_equals_a_plain_distribution(around):
+    rng = random.Random(11)
+    for _ in range(300):
+        blocks = [None if rng.random() < 0.35 else "".join(rng.choice("abcdefg") for _ in range(rng.choice([1, 3, 8, 15, 39, 40, 41, 90]))) for _ in range(rng.randint(0, 14))]
+        html = "".join("<nav><a>x</a></nav>" if b is None else f"<div><p>{b}</p></div>" for b in blocks)
+        want = plain_distribution(blocks) if not around else [b for b in blocks if b]
+        assert main_text(f"<body>{f'<{around}>' * bool(around)}{html}</body>") == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("bit", ['<a "x', "<a 'x", "<!", "<?", "<script 'x", "<a ", "<" + "a" * 40, "<div><nav>", "<div></table>", '<a "><b \'', "<!--", "<a b=\"'>\"' ", '<p class="', "</p ", "<svg>", "&#x", "<td><a>"])
+def test_a_malformed_megabyte_takes_seconds(bit):
+    began = time.perf_counter()
+    main_text(bit * (1_000_000 // len(bit)))
+    main_text(bit * (1_000_000 // len(bit)) + f"<article>{LONG}</article>")
+    assert time.perf_counter() - began < 20
+
+
+def test_tags_equal_a_plain_scan():
+    """Every tag's end is the first > outside quotes, or the first of all where quotes don't close."""
+
+    def plain(page):
+        at = 0
+        while (i := page.find("<", at)) >= 0:
+            at = i + 1
+            m = webtext.NAME.match(page, at)
+            if not m:
+                continue
+            j, quote, end = m.end(), "", -1
+            while j < len(page) and end < 0:
+                c = page[j]
+                if quote:
+                    quote = "" if c == quote else quote
+                elif c in "\"'":
+                    quote = c
+                elif c == ">":
+                    end = j
+                j += 1
+            end = page.find(">", m.end()) if end < 0 else end
+            if end >= 0:
+                at = end + 1
+                yield i, at, bool(m[1]), m[2].lower(), page[m.end() : end]
+
+    rng = random.Random(4)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<a", "<b ", "</a", ">", "\"", "'", " ", "x", "<", "=", "/"]) for _ in range(rng.randint(0, 25)))
+        assert list(webtext.Tags(page)) == list(plain(page)), page
