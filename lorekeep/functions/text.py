@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
 from collections.abc import Mapping, Sequence
 
@@ -15,7 +16,8 @@ from .. import vocabulary as v
 SPACE = r"(?U)[\s\x1c-\x1f]"
 PREFIXES = ("claude-", "chatgpt-")
 LEVELS = ("public", "internal", "private", "proprietary")
-STYLES = ("native", "posix", "windows")
+#: What stands in front of a path on a drive, and on a drive that is mounted; a separator follows.
+DRIVE, MOUNT = r"^([A-Za-z]):(?=[\\/])", r"^/(?:mnt/)?([A-Za-z])(?=/)"
 
 
 def sha(text: Column) -> Column:
@@ -186,31 +188,45 @@ def level_rank(value: Column) -> Column:
 
 def posix_path(path: Column) -> Column:
     """Drive paths as mounts: C:\\x becomes /mnt/c/x."""
-    p = F.replace(path, F.lit("\\"), F.lit("/"))
-    drive = F.regexp_extract(p, "^([A-Za-z]):/", 1)
-    return F.when(drive != "", F.concat(F.lit("/mnt/"), F.lower(drive), F.lit("/"), F.regexp_replace(p, "^[A-Za-z]:/+", ""))).otherwise(p)
+    rest = F.replace(F.regexp_replace(path, DRIVE, ""), F.lit("\\"), F.lit("/"))
+    return F.when(path.rlike(DRIVE), F.concat(F.lit("/mnt/"), F.lower(F.left(path, F.lit(1))), F.lit("/"), F.ltrim(rest, F.lit("/")))).otherwise(rest)
 
 
 def windows_path(path: Column) -> Column:
     """Mounts, also short ones, as drive paths: /mnt/c/x and /c/x become C:\\x."""
-    mount = F.regexp_extract(path, "^/(?:mnt/)?([A-Za-z])/", 1)
-    back = lambda c: F.replace(c, F.lit("/"), F.lit("\\"))
-    return (
-        F.when(mount != "", F.concat(F.upper(mount), F.lit(":\\"), back(F.regexp_replace(path, "^/(?:mnt/)?[A-Za-z]/", ""))))
-        .when(path.rlike(r"^[A-Za-z]:[\\/]"), F.concat(F.upper(F.left(path, F.lit(1))), F.lit(":"), back(F.substring(path, F.lit(3), F.length(path)))))
-        .otherwise(back(path))
-    )
+    drive = F.when(path.rlike(DRIVE), F.regexp_extract(path, DRIVE, 1)).when(path.rlike(MOUNT), F.regexp_extract(path, MOUNT, 1))
+    rest = F.replace(F.when(path.rlike(DRIVE), F.regexp_replace(path, DRIVE, "")).otherwise(F.regexp_replace(path, MOUNT, "")), F.lit("/"), F.lit("\\"))
+    return F.concat(F.coalesce(F.concat(F.upper(drive), F.lit(":")), F.lit("")), rest)
 
 
 def local_path(path: Column) -> Column:
     """As the executors' (POSIX) hosts resolve it."""
-    return F.when(path.rlike(r"^[A-Za-z]:[\\/]"), posix_path(path)).otherwise(path)
+    return F.when(path.rlike(DRIVE), posix_path(path)).otherwise(path)
 
 
 def stored_path(path: Column, style: str = "native") -> Column:
-    if style not in STYLES:
+    return _styled(style, {"native": lambda p: p, "posix": posix_path, "windows": windows_path})(path)
+
+
+def stored(path: str, style: str = "native") -> str:
+    """``stored_path`` for one path, on the driver, where a native path is made absolute."""
+
+    def posix(p: str) -> str:
+        drive = re.match(DRIVE, p)
+        rest = p[drive.end() if drive else 0 :].replace("\\", "/")
+        return f"/mnt/{drive[1].lower()}/{rest.lstrip('/')}" if drive else rest
+
+    def windows(p: str) -> str:
+        drive = re.match(DRIVE, p) or re.match(MOUNT, p)
+        return (f"{drive[1].upper()}:" if drive else "") + p[drive.end() if drive else 0 :].replace("/", "\\")
+
+    return _styled(style, {"native": lambda p: p if os.path.isabs(p) else os.path.abspath(p), "posix": posix, "windows": windows})(path)
+
+
+def _styled(style: str, ways: Mapping):
+    if style not in ways:
         raise ValueError(f"no such path style: {style!r}")
-    return {"native": path, "posix": posix_path(path), "windows": windows_path(path)}[style]
+    return ways[style]
 
 
 def tier(path: Column, rules: Sequence[tuple[str, str]]) -> Column:

@@ -70,10 +70,9 @@ def keeper_rank(spark, sf):
 
 
 @query(f"""WITH {_FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY root_idx, path) AS k FROM files)
-SELECT sha256, max(CASE WHEN k = 1 THEN path END) AS canonical, string_agg(path, ' ' ORDER BY k) FILTER (k > 1) AS redundant, max(size) AS size_bytes FROM r GROUP BY sha256 HAVING count(*) > 1""")
+SELECT r.sha256, k.path AS canonical, r.path AS redundant, r.size AS size_bytes FROM r JOIN r k ON k.sha256 = r.sha256 AND k.k = 1 WHERE r.k > 1""")
 def exact_duplicates(spark, sf):
-    copies = duplicates.ranked(corpus(spark, sf), "sha256", [F.col("root_idx"), F.col("path")])
-    return duplicates.plan(copies).withColumn("redundant", F.array_join("redundant", " "))
+    return duplicates.plan(corpus(spark, sf), [F.col("root_idx"), F.col("path")])
 
 
 @query(f"""WITH {_FILES}, g AS (SELECT sha256, count(*) AS c, max(size) AS s FROM files GROUP BY sha256)

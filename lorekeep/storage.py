@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,16 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
+    """spark.checkpoint.dir, or a folder of our own where that is unset and driver and executors are one process (tests).
+
+    On a cluster a folder of one machine would lose rows, so there the setting must be there: a RuntimeError tells so.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        given = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return given.rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

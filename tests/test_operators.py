@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ def files(spark, rows):
 
 def test_copies_and_versions(spark):
     f = files(spark, [("/b/a.md", "1"), ("/b/a (1).md", "1"), ("/a/z.md", "1"), ("/b/c (2).md", "3"), ("/b/c.md", "2"), ("/held/x", "1"), ("/held/y", "1"), ("/other/q", "1"), ("/b/d (1).md", "9")])
-    plan = duplicates.plan(duplicates.live_copies(f, ["/b", "/a"], "/held")).collect()
-    assert [(p.canonical, p.redundant) for p in plan] == [("/b/a.md", ["/b/a (1).md", "/a/z.md"])]
+    plan = duplicates.plan(f.where("path not like '/held/%'"), [F.col("root_idx")]).collect()
+    assert sorted((p.canonical, p.redundant, p.size_bytes) for p in plan) == [("/b/a.md", x, 1) for x in ("/a/z.md", "/b/a (1).md", "/other/q")]
     actions = {(r.action, r.path, r.keeper) for r in duplicates.cleanup(f, ["/b", "/a"], "/held").collect()}
     assert actions == {("live_delete", "/b/a (1).md", "/b/a.md"), ("live_delete", "/a/z.md", "/b/a.md"), ("lineage_move", "/b/c (2).md", "/b/c.md"), ("held_delete", "/held/y", "/held/x")}
     assert {(r.variant, r.kind, r.n) for r in duplicates.versions(f).collect()} == {("/b/a (1).md", "accidental", 1), ("/b/c (2).md", "lineage", 2)}
@@ -41,7 +42,50 @@ def test_index_and_lookups(spark, tmp_path):
     assert {r.path: (r.recoverable_by_name, r.dangling) for r in provenance.dangling(asked, ix).collect()} == {"/x/KEPT.md": (True, False), "/x/ept.md": (True, False), "/x/none.md": (False, True), "/x/a": (False, False)}
     e = spark.createDataFrame([("none", "D:\\q\\NAME.md"), ("a.md", "nope"), ("no", None)], "name string, path string")
     assert {r.name: r.sha256 for r in provenance.by_name(e, ix).collect()} == {"none": "AB", "a.md": "CD", "no": None}
-    assert [r.place for r in provenance.current_first(ix.where("sha256 = 'AB'")).orderBy("place").collect()] == [1, 2]
+    wild = spark.createDataFrame([("/x/k_pt.md", False), ("/x/k%d", False), ("/x/_", False), ("/x/z_", False), ("/x/!.md", False), ("/q/KEPT.MD", True)], "path string, exists boolean")
+    got = {r.path: r.recoverable_by_name for r in provenance.dangling(wild, ix).collect()}
+    assert got == {"/x/k_pt.md": True, "/x/k%d": True, "/x/_": True, "/x/z_": "z" in str(there).lower()[:-1], "/x/!.md": False, "/q/KEPT.MD": False}
+
+
+def test_lost_names_equal_a_plain_search(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab_x.") for _ in range(n))
+    index = [f"/r/{word(rng.randint(1, 12))}" for _ in range(200)]
+    lost = sorted({f"/g/{word(rng.randint(1, 7))}" for _ in range(150)})
+    ix = spark.createDataFrame([("A", p, 1, "live", "move") for p in index], provenance.INDEX)
+    got = {r.path: r.recoverable_by_name for r in provenance.dangling(spark.createDataFrame([(p, False) for p in lost], "path string, exists boolean"), ix).collect()}
+    want = {p: any(re.search(re.escape(p[3:]).replace("_", "."), x) for x in index) for p in lost}
+    assert got == want and len(set(want.values())) == 2
+
+
+def test_ranks_of_large_groups_equal_those_of_small_ones(spark, monkeypatch):
+    rows = [(f"h{i % 3}", f"/p/{(i * 7919) % 1000}", i % 2) for i in range(600)] + [("alone", "/p/x", 0)]
+    df = spark.createDataFrame(rows, "sha256 string, path string, root_idx int")
+    order = [F.col("root_idx"), F.col("path")]
+    want = sorted(map(str, duplicates.ranked(df, "sha256", order).select("sha256", "path", "copies", "keeper_rank").collect()))
+    monkeypatch.setattr(duplicates, "SORTED", 50)
+    assert len(want) == 600 and sorted(map(str, duplicates.ranked(df, "sha256", order).select("sha256", "path", "copies", "keeper_rank").collect())) == want
+
+
+def test_paths_are_stored_alike_on_driver_and_executors(spark):
+    rng = random.Random(3)
+    paths = sorted({"".join(rng.choice(["C:", "/", "\\", "mnt", "c", "d", "x.md", ":"]) for _ in range(rng.randint(1, 6))) for _ in range(400)} | {"/mnt/c/a", "/c/a", "c:\\a", "C:\\\\a"})
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    for style in ("posix", "windows"):
+        assert [(r.p, r.s) for r in df.select("p", T.stored_path(F.col("p"), style).alias("s")).collect()] == [(p, T.stored(p, style)) for p in paths]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from lorekeep import storage
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Cluster)
+    Cluster.sparkContext.master = "local[4]"
+    assert storage.shared_dir(Cluster)
 
 
 def frontmatter_sources():
