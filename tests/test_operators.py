@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.config import EngineConfig, PackRequest, RecallConfig
 from lorekeep.functions import text as T
-from lorekeep.operators import artifacts, audit, duplicates, feed, gates, graph, neardup, packs, provenance, recall
+from lorekeep.operators import artifacts, audit, duplicates, feed, gates, graph, linking, neardup, packs, provenance, recall
 from lorekeep.sources import frontmatter, log
 from lorekeep.streaming import feeds
 
@@ -132,7 +132,7 @@ def jaccard(a, b):
 
 @pytest.mark.parametrize("block", [1_000_000, 60])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(linking, "BLOCK", block)
     rng = random.Random(5)
     base = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 9)) for _ in range(40)) for _ in range(4)]
     rows = []
