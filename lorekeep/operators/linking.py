@@ -86,7 +86,7 @@ def links(spread: DataFrame, sets_of: Callable[[DataFrame], DataFrame], alike: A
     """Links (a, b) that connect the reps of all sets that are alike, as far as they share a key.
 
     spread: cid, rep, n, key. cid tells a set, rep is what links are spelled in (several sets may have the same), n is the set's size, and there is a row for each
-    of its keys. sets_of: from involved sets (cid, rep) to their elements (cid, grams), 64-bit hashes without repeats.
+    of its keys. sets_of: from involved sets (cid, rep) to their elements (cid, grams), 64-bit hashes without repeats; it may return a set more than once.
     """
     crowded = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = durable(spread.join(crowded, "key"), "members")
@@ -95,6 +95,8 @@ def links(spread: DataFrame, sets_of: Callable[[DataFrame], DataFrame], alike: A
     centres = centres.select("key", (-F.col("x.m")).alias("centre"), F.col("x.rep").alias("crep"), F.col("x.n").alias("cn"))
     placed = durable(members.join(centres, "key"), "placed")
     sets = durable(sets_of(placed.select("cid", "rep").distinct()).select("cid", "grams"), "sets")
+    if not sets.groupBy("cid").count().where("count > 1").isEmpty():
+        sets = durable(sets.dropDuplicates(["cid"]), "sets")
     pairs = placed.where("cid <> centre").where(alike(F.least("n", "cn"), F.col("n"), F.col("cn"))).select("cid", "centre", "rep", "crep", "n", "cn").distinct()
     pairs = pairs.join(sets.select("cid", F.col("grams").alias("g1")), "cid").join(sets.select(F.col("cid").alias("centre"), F.col("grams").alias("g2")), "centre")
     close = pairs.withColumn("both", F.size(F.array_intersect("g1", "g2"))).where(alike(F.col("both"), F.col("n"), F.col("cn")))
