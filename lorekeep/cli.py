@@ -93,11 +93,15 @@ def pack(args) -> int:
         request = PackRequest(args.project or "", args.role, args.task, args.objective, **{k: v for k, v in limits.items() if v is not None})
     if not request.project:
         raise ValueError("a project is needed, by --project or --project-config")
-    results = None
+    given = {}
     if not recall.probe(cfg.recall)["available"]:
-        request.risks.append("There was no recall backend, so nothing could be looked up; compile this pack again with one.")
-        results = {"hot": [], "cold": [], "weak_hot": True}
-    text = packs.compile_pack(session(), request, config=cfg, results=results)
+        if cfg.hot_root and cfg.index_db:
+            hits = curation.recalled(session(), cfg, request.task)
+            given = {"hits": hits, "weak_hot": recall.weak(hits.where("tier = 'hot'"), cfg.recall.rerank_floor).first()["weak_hot"]}
+        else:
+            request.risks.append("There was no recall backend and no corpus is configured, so nothing could be looked up; compile this pack again with one of them.")
+            given = {"results": {"hot": [], "cold": [], "weak_hot": True}}
+    text = packs.compile_pack(session(), request, config=cfg, **given)
     if args.out:
         with open(args.out, "w", encoding="utf-8") as f:
             f.write(text)

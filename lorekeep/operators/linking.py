@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..storage import durable, release
 
 #: Elements, and members, in one side of a block: 4 MB of hashes.
-BLOCK, MEMBERS = 500_000, 1000
+BLOCK, MEMBERS = 500_000, 500
 
 #: Whether two sets are alike, from the size of their intersection and their own sizes: columns or arrays of numbers.
 Alike = Callable

@@ -36,10 +36,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import evidence  # noqa: F401  registers its own
+
     return {name: q[0] for name, q in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: q[1] for name, q in _QUERIES.items() if q[1]}
 
 
@@ -263,12 +266,6 @@ def facts_capitals(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(facts.first_of_each(facts.found(F.col("text"), facts.CAPITALS)), " ").alias("capitals"))
 
 
-@query(None)
-def facts_stated(spark, sf):
-    found = facts.stated(F.concat(F.lit("Paid $1,200.50 on 3/14/2024, 12.5% of ACME_7.\nWe MUST keep it.\n```py\nx = 1\n```\n"), F.col("text")))
-    return table(spark, sf, "documents").select("doc_id", F.size(found).alias("n_facts"), F.sha2(F.array_join(found, "\n"), 256).alias("facts_sha"))
-
-
 # Each document states its own id and hash head; the artifact keeps some of them.
 _PAIR = """WITH p AS (SELECT doc_id, 'REF_' || upper(left(sha256(text), 6)) AS c1, 'ID_' || CAST(doc_id AS VARCHAR) AS c2, '$' || CAST(doc_id + 10 AS VARCHAR) AS m FROM documents),
 q AS (SELECT doc_id, [c1, c2, m] AS f, lower(CASE doc_id % 3 WHEN 0 THEN c1 || ' ' || c2 || ' ' || m WHEN 1 THEN c2 || ' and ' || m ELSE 'nothing' END) AS art FROM p)"""
@@ -491,17 +488,6 @@ def pack_roles(spark, sf):
     return packs.roles(spark).select("role", "include_cold")
 
 
-@query(None)
-def context_pack(spark, sf):
-    """One pack over recall on the tables: verification of the words 'The das'."""
-    from ..config import PackRequest
-
-    hot = _hot(spark, sf).withColumns({"sha256": T.sha(F.col("path")), "admissibility": F.lit("internal")})
-    hits = recall.two_tiers(hot, _cold(spark, sf))
-    text = packs.compile_pack(spark, PackRequest("tables", "verification", "The das"), hits=hits, weak_hot=recall.weak(hot).first()["weak_hot"])
-    return spark.createDataFrame([(text,)], "pack string")
-
-
 _EVIDENCE = """WITH e AS (SELECT event_id, event_type AS kind, 'user ' || CAST(user_id AS VARCHAR) AS wu, 'ev:' || CAST(event_id AS VARCHAR) AS ref, replace(replace(props, '\\', '\\\\'), '"', '\\"') AS summary, upper(sha256(props)) AS link FROM events),
 d AS (SELECT event_id, kind, wu, link, '{' || chr(10) || '  "advisory": true,' || chr(10) || '  "custody_note": "n",' || chr(10) || '  "emitted_by": "",' || chr(10) || '  "freshness": "",' || chr(10) || '  "is_truth_source": false,' || chr(10) || '  "kind": "' || kind || '",' || chr(10) || '  "produced_at": "",' || chr(10) || '  "schema": "lorekeep/feed-evidence@1",' || chr(10) || '  "source_ref": "' || ref || '",' || chr(10) || '  "sources": [' || chr(10) || '    {' || chr(10) || '      "ref": "' || ref || '",' || chr(10) || '      "role": "substrate-authoritative-record",' || chr(10) || '      "sha256": "' || link || '"' || chr(10) || '    }' || chr(10) || '  ],' || chr(10) || '  "summary": "' || summary || '",' || chr(10) || '  "work_unit_id": "' || wu || '"' || chr(10) || '}' || chr(10) AS document FROM e)"""
 

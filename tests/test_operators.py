@@ -92,6 +92,13 @@ def frontmatter_sources():
     return "sources array<struct<sha256:string,title:string,path:string>>"
 
 
+def test_batches_of_the_log_are_read_again(spark, tmp_path):
+    """What executors append is part of the log, beside what the driver writes."""
+    log.Log(str(tmp_path / "m.jsonl")).append(op="move", sha256="ab", size_bytes=1, stage="s", reason="r", src_abs="/a")
+    log.append_batch(spark.createDataFrame([("ingest", "/b", "CD"), ("ingest", None, "EF")], "op string, dst_abs string, sha256 string").selectExpr(*(f"cast({n} as {t}) as {n}" if n in ("op", "dst_abs", "sha256") else f"cast(null as {t}) as {n}" for n, t in (f.split() for f in log.RECORD.split(", ")))), str(tmp_path))
+    assert sorted((r.op, r.sha256) for r in log.read(spark, str(tmp_path)).collect()) == [("ingest", "CD"), ("ingest", "EF"), ("move", "AB")]
+
+
 def test_unseen_takes_first_of_each_hash(spark):
     f = files(spark, [("/r/b", "1"), ("/r/a", "1"), ("/r/c", "2"), ("/r/d", "3")])
     seen = f.where("text = '2'").select("sha256")
@@ -157,6 +164,23 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert {r.path: r.cluster for r in neardup.clusters(files(spark, rows), 0.6).collect()} == want
 
 
+def test_moves_keep_the_place_below_the_common_folder(spark):
+    files_ = spark.createDataFrame([("/r/a/x.md",), ("/r/b/y.md",), ("/r/a/deep/z.md",)], "path string")
+    plan = spark.createDataFrame([("/r/a/x.md", "/r/a/deep/z.md", "/r/a/deep/z.md", True), ("/r/a/deep/z.md",) * 3 + (False,)], "path string, cluster string, canonical string, loser boolean")
+    assert neardup.common_folder(files_) == "/r" and neardup.common_folder(files_.limit(0)) == "/"
+    assert [r.dst for r in neardup.moves(plan, files_, "/cold").collect()] == ["/cold/a/x.md"]
+
+
+def test_terms_of_an_index_equal_a_scan(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(f"p{i}", f"h{i}", " ".join(rng.choice(["a", "B", "c", "dd", "é"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "path string, sha256 string, text string")
+    recall.write_terms(docs, str(tmp_path / "t"))
+    for q in ("a", "DD b", "é nothing", "nothing", ""):
+        want = [(r.path, round(r.score, 9)) for r in recall.bm25(docs, q, 7).collect()]
+        assert [(r.path, round(r.score, 9)) for r in recall.search_terms(spark, str(tmp_path / "t"), q, 7).collect()] == want
+
+
 def test_keepers(spark):
     rows = [("c", "/xa.md", 9, None), ("c", "/b.md", 5, None), ("c", "/c.md", 7, None)]
     df = spark.createDataFrame(rows, "cluster string, path string, size long, established boolean")
