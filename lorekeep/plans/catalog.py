@@ -154,12 +154,13 @@ def resolve_shas(spark, sf):
     return provenance.resolve(asked, action_index(spark, sf)).select("sha256", F.array_join("paths", " ").alias("paths"), "current")
 
 
-@query(f"""WITH {_INDEX}, asked AS (SELECT '/gone/' || CAST(p_partkey AS VARCHAR) || '.md' AS path, p_partkey % 5 = 0 AS exists FROM part),
-r AS (SELECT a.path, a.exists, NOT a.exists AND EXISTS (SELECT 1 FROM files f WHERE f.current = 1 AND contains(lower(f.path), regexp_extract(a.path, '[^/]*$'))) AS recoverable_by_name FROM asked a)
+@query(f"""WITH {_INDEX}, asked AS (SELECT '/gone/' || CASE WHEN p_partkey % 40 = 1 THEN '_' WHEN p_partkey % 40 = 2 THEN '%ve_' ELSE '' END || CAST(p_partkey AS VARCHAR) || '.md' AS path, p_partkey % 5 = 0 AS exists FROM part),
+low AS (SELECT DISTINCT lower(path) AS path FROM files WHERE current = 1), r AS (SELECT a.path, a.exists, NOT a.exists AND EXISTS (SELECT 1 FROM low f WHERE f.path LIKE '%' || regexp_extract(a.path, '[^/]*$') || '%') AS recoverable_by_name FROM asked a)
 SELECT path, exists, recoverable_by_name, NOT exists AND NOT recoverable_by_name AS dangling FROM r""")
 def dangling_paths(spark, sf):
     k = F.col("p_partkey")
-    asked = table(spark, sf, "part").select(F.concat(F.lit("/gone/"), k.cast("string"), F.lit(".md")).alias("path"), (k % 5 == 0).alias("exists"))
+    wild = F.when(k % 40 == 1, "_").when(k % 40 == 2, "%ve_").otherwise("")
+    asked = table(spark, sf, "part").select(F.concat(F.lit("/gone/"), wild, k.cast("string"), F.lit(".md")).alias("path"), (k % 5 == 0).alias("exists"))
     return provenance.dangling(asked, action_index(spark, sf))
 
 
@@ -266,34 +267,6 @@ def facts_capitals(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(facts.first_of_each(facts.found(F.col("text"), facts.CAPITALS)), " ").alias("capitals"))
 
 
-# Each document states its own id and hash head; the artifact keeps some of them.
-_PAIR = """WITH p AS (SELECT doc_id, 'REF_' || upper(left(sha256(text), 6)) AS c1, 'ID_' || CAST(doc_id AS VARCHAR) AS c2, '$' || CAST(doc_id + 10 AS VARCHAR) AS m FROM documents),
-q AS (SELECT doc_id, [c1, c2, m] AS f, lower(CASE doc_id % 3 WHEN 0 THEN c1 || ' ' || c2 || ' ' || m WHEN 1 THEN c2 || ' and ' || m ELSE 'nothing' END) AS art FROM p)"""
-
-
-def _pairs(spark, sf):
-    k = F.col("doc_id")
-    c1 = F.concat(F.lit("REF_"), F.upper(F.left(F.sha2("text", 256), F.lit(6))))
-    c2, m = F.concat(F.lit("ID_"), k.cast("string")), F.concat(F.lit("$"), (k + 10).cast("string"))
-    art = F.when(k % 3 == 0, F.concat_ws(" ", c1, c2, m)).when(k % 3 == 1, F.concat(c2, F.lit(" and "), m)).otherwise("nothing")
-    source = F.concat(c1, F.lit(" "), c2, F.lit(" "), m)
-    return table(spark, sf, "documents").select("doc_id", source.alias("source"), art.alias("artifact"))
-
-
-@query(_PAIR + """, n AS (SELECT doc_id, f || [CAST(doc_id + 10 AS VARCHAR)] AS f, art FROM q), r AS (SELECT doc_id, f, list_filter(f, lambda x: NOT contains(art, lower(x))) AS missing FROM n)
-SELECT doc_id, (len(f) - len(missing)) / len(f) AS coverage, len(missing) AS n_missing FROM r""")
-def coverage(spark, sf):
-    return gates.measured(_pairs(spark, sf)).select("doc_id", "coverage", F.size("missing").cast("long").alias("n_missing"))
-
-
-@query(_PAIR + """, r AS (SELECT doc_id, list_filter(f, lambda x: contains(art, lower(x))) AS said FROM q) SELECT doc_id, CASE WHEN len(said) = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS faithfulness, CAST(len(said) AS BIGINT) AS n_unsupported FROM r""")
-def faithfulness(spark, sf):
-    # As many specifics of each artifact are made up as are true.
-    made_up = F.transform(facts.checkable(F.col("artifact")), lambda x: F.concat(F.lit(" "), F.when(F.startswith(x, F.lit("$")), F.concat(x, F.lit("99999"))).otherwise(F.concat(x, F.lit("_FAKE")))))
-    pairs = _pairs(spark, sf).withColumn("artifact", F.concat("artifact", F.array_join(made_up, "")))
-    return gates.measured(pairs).select("doc_id", "faithfulness", F.size("unsupported").cast("long").alias("n_unsupported"))
-
-
 _WORDS = "list_filter(string_split_regex(lower(text), '[\\s\\x1c-\\x1f\\x0b]+'), lambda x: x <> '')"
 
 
@@ -350,17 +323,20 @@ def section_sizes(spark, sf):
 
 
 def rendered(spark, sf):
-    """Artifacts made of documents: some without header, hash, title or a known type."""
+    """Artifacts that hold documents whole: some without header, hash, title or a known type."""
     k = F.col("doc_id")
     sha = F.upper(F.sha2("text", 256))
     sources = F.when(k % 5 == 1, "sources: []\n").when(k % 5 == 2, "sources:\n- path: x.md\n").otherwise(F.concat(F.lit("sources:\n- sha256: "), sha, F.lit("\n  title: t\n")))
     head = F.concat(F.lit("---\nid: KB-"), k.cast("string"), F.lit("\n"), F.when(k % 4 == 1, "").otherwise("status: seeded\n"), F.lit("type: "), F.when(k % 6 == 0, "Mystery").otherwise("doctrine"), F.lit("\n"), sources, F.lit("---\n"))
     head = F.when(k % 7 == 0, "---\n: [\n---\n").otherwise(head)
-    body = F.concat(F.when(k % 3 == 0, "").otherwise("# Title\n"), F.lit("\n## Part\nok\n\n## Stripping Ledger\nREF_"), F.left(sha, F.lit(6)), F.lit("\n"))
+    body = F.concat(F.when(k % 3 == 0, "").otherwise("# Title\n"), F.lit("\n## Part\n"), "text", F.lit("\n\n## Stripping Ledger\nREF_"), F.left(sha, F.lit(6)), F.lit("\n"))
     return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/inbox/"), k.cast("string"), F.lit(".md")).alias("path"), F.concat(head, body).alias("text"))
 
 
-_AUDIT = """WITH a AS (SELECT doc_id AS k, doc_id % 7 = 0 AS bad FROM documents), f AS (
+#: What stands in the section of a rendered artifact besides the text.
+_AROUND = len("## Part\n\n\n")
+_AUDIT = f"""WITH a AS (SELECT doc_id AS k, doc_id % 7 = 0 AS bad, length(text) + {_AROUND} AS n FROM documents), f AS (
+SELECT k, 'chunk:over_est_tokens' AS rule, '## Part: ' || CAST(n // 4 AS VARCHAR) || ' est-tokens (chars/4) > 850' AS detail FROM a WHERE NOT bad AND n // 4 > 850 UNION ALL SELECT k, 'chunk:over_chars', '## Part: ' || CAST(n AS VARCHAR) || ' chars > 3600' FROM a WHERE NOT bad AND n > 3600 UNION ALL
 SELECT k, 'frontmatter_invalid' AS rule, 'missing or unparseable YAML frontmatter' AS detail FROM a WHERE bad
 UNION ALL SELECT k, 'missing_field', 'required field ''status'' absent or empty' FROM a WHERE NOT bad AND k % 4 = 1 UNION ALL SELECT k, 'missing_field', 'required field ''sources'' absent or empty' FROM a WHERE NOT bad AND k % 5 = 1
 UNION ALL SELECT k, 'missing_sha256_linkback', 'no sources[].sha256 provenance link-back' FROM a WHERE NOT bad AND k % 5 = 2 UNION ALL SELECT k, 'unknown_type', 'type ''mystery'' not in domain map' FROM a WHERE NOT bad AND k % 6 = 0
@@ -378,8 +354,8 @@ def audit_by_rule(spark, sf):
     return audit.by_rule(audit_findings(spark, sf))
 
 
-@query("""WITH r AS (SELECT doc_id AS k, doc_id % 2 = 0 AS free, (doc_id % 11) / 10.0 AS m, doc_id % 13 <> 0 AS reported, doc_id % 7 <> 0 AND doc_id % 5 NOT IN (1, 2) AS linked FROM documents)
-SELECT k AS doc_id, CASE WHEN NOT reported THEN 'no_gate_report' WHEN free AND m < 0.9 THEN 'faithfulness' WHEN NOT free AND m < 0.8 THEN 'coverage' WHEN NOT free AND k % 3 = 1 THEN 'unexplained_loss'
+@query(f"""WITH r AS (SELECT doc_id AS k, doc_id % 2 = 0 AS free, (doc_id % 11) / 10.0 AS m, doc_id % 13 <> 0 AS reported, doc_id % 7 <> 0 AND doc_id % 5 NOT IN (1, 2) AS linked, (length(text) + {_AROUND}) // 4 > 850 OR length(text) + {_AROUND} > 3600 AS long FROM documents)
+SELECT k AS doc_id, CASE WHEN long THEN 'chunk_lint' WHEN NOT reported THEN 'no_gate_report' WHEN free AND m < 0.9 THEN 'faithfulness' WHEN NOT free AND m < 0.8 THEN 'coverage' WHEN NOT free AND k % 3 = 1 THEN 'unexplained_loss'
 WHEN NOT linked THEN 'no_link_back' WHEN k % 17 = 0 THEN 'name_taken' END AS reject_reason FROM r""")
 def gate_outcomes(spark, sf):
     k = F.col("doc_id")
@@ -397,17 +373,12 @@ def frontmatter_fields(spark, sf):
     return rows.select("doc_id", F.col("fm.ok").alias("usable"), "fm.id", "fm.status", "fm.n_sources")
 
 
-@query("""SELECT doc_id, '---' || chr(10) || 'id: KB-' || CAST(doc_id AS VARCHAR) || chr(10) || 'type: reference-note' || chr(10) || 'status: seeded' || chr(10) || 'sources:' || chr(10) || '- sha256: H' || upper(sha256(text)) || chr(10) || '  title: t' || chr(10) || '  path: /a.md' || chr(10) || '---' || chr(10) || chr(10) || 'Body' AS artifact FROM documents""")
+@query("""SELECT doc_id, sha256('---' || chr(10) || 'id: KB-' || CAST(doc_id AS VARCHAR) || chr(10) || 'type: reference-note' || chr(10) || 'status: seeded' || chr(10) || 'sources:' || chr(10) || '- sha256: H' || upper(sha256(text)) || chr(10) || '  title: t' || chr(10) || '  path: /a.md' || chr(10) || '---' || chr(10) || chr(10) || regexp_replace(text, '^\\s+', '')) AS artifact_sha FROM documents""")
 def artifact_build(spark, sf):
     d = table(spark, sf, "documents")
     id_ = F.concat(F.lit("KB-"), F.col("doc_id").cast("string"))
-    art = artifacts.built(F.lit("\n\nBody"), sha256=F.concat(F.lit("H"), T.sha(F.col("text"))), title=F.lit("t"), path=F.lit("/a.md"), type_=F.lit("reference-note"), id_=id_)
-    return d.select("doc_id", art.alias("artifact"))
-
-
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN false ELSE doc_id % 4 = 1 OR true END AS changed FROM documents""")
-def normalization_plan(spark, sf):
-    return artifacts.normalization(rendered(spark, sf)).select("doc_id", "changed")
+    art = artifacts.built(F.concat(F.lit("\n \n"), "text"), sha256=F.concat(F.lit("H"), T.sha(F.col("text"))), title=F.lit("t"), path=F.lit("/a.md"), type_=F.lit("reference-note"), id_=id_)
+    return d.select("doc_id", F.sha2(art, 256).alias("artifact_sha"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, source, upper(sha256(text)) AS sha FROM documents), f AS (SELECT min(doc_id) AS doc_id, sha FROM s WHERE source <> 'src5' AND sha NOT IN (SELECT sha FROM s WHERE source = 'src5') GROUP BY sha)

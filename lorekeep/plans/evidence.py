@@ -75,13 +75,13 @@ def _halves(spark, sf):
 
 
 @query(f"WITH RECURSIVE {_MEASURED} SELECT doc_id, round(coverage, 9) AS coverage, CAST(len(missing) AS INTEGER) AS n_missing, sha256(array_to_string(missing, chr(10))) AS missing_sha FROM r".replace("RECURSIVE ", ""))
-def text_coverage(spark, sf):
+def coverage(spark, sf):
     """How much of each whole text its half keeps."""
     return gates.measured(_halves(spark, sf)).select("doc_id", F.round("coverage", 9).alias("coverage"), F.size("missing").alias("n_missing"), F.sha2(F.array_join("missing", "\n"), 256).alias("missing_sha"))
 
 
 @query(f"WITH {_MEASURED} SELECT doc_id, round(faithfulness, 9) AS faithfulness, array_to_string(unsupported, '|') AS unsupported FROM r")
-def text_faithfulness(spark, sf):
+def faithfulness(spark, sf):
     """What each half claims that the whole text doesn't."""
     return gates.measured(_halves(spark, sf)).select("doc_id", F.round("faithfulness", 9).alias("faithfulness"), F.array_join("unsupported", "|").alias("unsupported"))
 
@@ -124,14 +124,13 @@ def gate_chain(spark, sf):
     return gates.decided(gates.free_names(arts, hot, policy), policy).select("doc_id", "reject_reason", "domain")
 
 
-@query("""WITH a AS (SELECT doc_id AS k, CAST(doc_id AS VARCHAR) AS n, upper(sha256(text)) AS sha, chr(10) AS e FROM documents),
+@query("""WITH a AS (SELECT doc_id AS k, CAST(doc_id AS VARCHAR) AS n, upper(sha256(text)) AS sha, text AS t, chr(10) AS e FROM documents),
 h AS (SELECT *, '---' || e || 'id: KB-' || n || e || CASE WHEN k % 4 = 1 THEN '' ELSE 'status: seeded' || e END || 'type: ' || CASE WHEN k % 6 = 0 THEN 'Mystery' ELSE 'doctrine' END || e || CASE k % 5 WHEN 1 THEN 'sources: []' WHEN 2 THEN 'sources:' || e || '- path: x.md' ELSE 'sources:' || e || '- sha256: ' || sha || e || '  title: t' END || e || CASE WHEN k % 4 = 1 THEN 'status: seeded' || e ELSE '' END || 'distill: 3' || e || '---' || e || e AS head,
-CASE WHEN k % 3 = 0 THEN '' ELSE '# Title' || e END || e || '## Part' || e || 'ok' || e || e || '## Stripping Ledger' || e || 'REF_' || left(sha, 6) || e AS body FROM a)
-SELECT k AS doc_id, n AS slug, sha256(CASE WHEN k % 7 = 0 THEN '---' || e || ': [' || e || '---' || e || body ELSE head || regexp_replace(body, '^\\n+', '') END) AS normalized_sha FROM h WHERE NOT (sha SIMILAR TO '[0-9]+' OR sha SIMILAR TO '[0-9]+E[0-9]+')""")
+CASE WHEN k % 3 = 0 THEN '' ELSE '# Title' || e END || e || '## Part' || e || t || e || e || '## Stripping Ledger' || e || 'REF_' || left(sha, 6) || e AS body FROM a)
+SELECT k AS doc_id, n AS slug, sha256(CASE WHEN k % 7 = 0 THEN '---' || e || ': [' || e || '---' || e || body ELSE head || regexp_replace(body, '^\\n+', '') END) AS normalized_sha FROM h""")
 def normalized_texts(spark, sf):
     """The whole text of each artifact after normalization: conventional id and status, a distill level, the same body."""
-    rows = rendered(spark, sf).where("not upper(sha2((regexp_extract(text, 'x', 0)), 256)) = ''")
-    return artifacts.normalization(rows).select("doc_id", "slug", F.sha2("normalized", 256).alias("normalized_sha"))
+    return artifacts.normalization(rendered(spark, sf)).select("doc_id", "slug", F.sha2("normalized", 256).alias("normalized_sha"))
 
 
 _TITLED = _NEAR.replace(_PATH, "'/notes/' || CASE WHEN doc_id % 50 = 7 THEN CAST(doc_id AS VARCHAR) || '/README' ELSE CASE doc_id % 4 WHEN 0 THEN 'Claude-' WHEN 1 THEN 'x' ELSE '' END || source || '-Note (' || CAST(doc_id AS VARCHAR) || ')' END || '.md'").replace("FROM documents)", "FROM documents WHERE doc_id % 50 <> 7)", 1)

@@ -17,7 +17,7 @@ def test_row_wise_queries_neither_shuffle_nor_leave_the_jvm(spark, sf, name):
     assert "Exchange" not in p and "Python" not in p and "Arrow" not in p and "Pandas" not in p
 
 
-@pytest.mark.parametrize("name", "audit_findings gate_outcomes artifact_build normalization_plan frontmatter_fields".split())
+@pytest.mark.parametrize("name", "audit_findings gate_outcomes artifact_build normalized_texts frontmatter_fields".split())
 def test_headers_cost_no_shuffle(spark, sf, name):
     p = plan(spark, sf, name).split("== Physical Plan ==")[1]
     assert "Exchange" not in p and "ArrowEvalPython" in p
