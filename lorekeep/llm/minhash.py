@@ -8,10 +8,8 @@ sets fill all bins in one round, which is why sketching costs a few operations p
 are bucket keys; r and the number of bands are derived from the threshold so that a pair right at it is
 missed with a probability below 2e-6 (and of two lists of links only what connects further documents matters).
 
-Links. In each bucket every member is compared with one centre, the member that meets most others over all
-buckets. Members that are not linked with their centre are then compared with every member of their bucket, in blocks of
-bounded size that are spread over tasks; a block returns at most as many links as it has members. All comparisons are exact, on the
-whole sets of 64-bit shingle hashes. No pair of ids is listed twice and no group's pairs are listed at all.
+Links. Members of a bucket are compared with one centre, and those that it doesn't hold with all others, in blocks of bounded size (see
+``operators.linking``). All comparisons are exact, on the whole sets of 64-bit shingle hashes. No pair of ids is listed twice and no group's pairs are listed at all.
 """
 
 from __future__ import annotations
@@ -26,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import linking
 from ..operators.graph import components
-from .common import durable, grouped, has_columns, in_batches, labelled, mix, only, release, seed, slices, words
+from .common import durable, has_columns, in_batches, labelled, mix, only, seed, slices, words
 
 MISS = 2e-6
-#: Shingles in one side of a block of a crowded bucket: 4 MB of hashes.
-BLOCK = 500_000
+#: Sets to be fetched, of 32 bytes each, that may be broadcast.
+INVOLVED = 500_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -138,41 +137,6 @@ def _sets(k: int):
     return run
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between ``left`` and ``right`` members of a block, as a spanning forest."""
-    size = np.array([len(s) for s in sets], np.int64)
-    starts = np.cumsum(size) - size
-    vocabulary, coded = np.unique(np.concatenate(sets), return_inverse=True)
-    mark, up, out = np.zeros(len(vocabulary), np.int64), list(range(len(ids))), []
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    for x in np.flatnonzero(left):
-        own = coded[starts[x] : starts[x] + size[x]]
-        mark[own] = 1
-        both = np.add.reduceat(mark[coded], starts)
-        mark[own] = 0
-        near = (100 * both >= percent * (size + size[x] - both)) & right
-        for y in np.flatnonzero(near):
-            if (a := root(x)) != (b := root(y)):
-                up[a] = b
-                out.append((int(ids[x]), int(ids[y])))
-    return out
-
-
-def _blocks(percent: int):
-    def run(group: pa.Table) -> pa.Table:
-        ids, rest = group.column("rep").to_numpy(), group.column("rest").to_numpy()
-        sets = [x.values.to_numpy(zero_copy_only=False) for x in group.column("grams")]
-        links = block_links(ids, sets, rest, ~rest, percent)
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Returns doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -196,42 +160,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = durable(classes.select("d1", "d2", F.col("f.doc_id").alias("rep"), F.col("f.row").alias("cid"), "weight"), "classes")
     reps = named.where(F.size("keys") > 0).select(F.col("row").alias("cid"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys").join(classes.select("cid"), "cid", "left_semi")
     spread = reps.select("cid", "rep", "n", F.explode("keys").alias("key"))
-    crowded = spread.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = durable(spread.join(crowded, "key"), "members")
-    met = members.groupBy("cid").agg(F.sum("c").alias("w"))
-    centres = members.join(met, "cid").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("m"), "cid", "n")).alias("x"))
-    centres = centres.select("key", F.col("x.cid").alias("centre"), (-F.col("x.m")).alias("crep"), F.col("x.n").alias("cn"))
-    placed = durable(members.join(centres, "key"), "placed")
-    involved = durable(placed.select("cid", "rep").distinct().join(classes.select("cid", "d1", "d2"), "cid"), "involved")
-    found = only(docs.withColumnRenamed("doc_id", "rep"), involved.select("rep").distinct(), "rep").withColumnRenamed("rep", "doc_id").transform(in_batches, _sets(k), "rep long, d1 long, d2 long, grams array<long>")
-    # The set that belongs to the class's digest, whatever else goes by the same doc_id.
-    sets = durable(only(found, involved, ["rep", "d1", "d2"], "inner").select("cid", "grams"), "sets")
-    if not sets.groupBy("cid").count().where("count > 1").isEmpty():
-        sets = durable(sets.dropDuplicates(["cid"]), "sets")
-    pairs = placed.where(f"cid <> centre and 100 * least(n, cn) >= {percent} * greatest(n, cn)").select("cid", "centre", "rep", "crep", "n", "cn").distinct()
-    pairs = pairs.join(sets.select("cid", F.col("grams").alias("g1")), "cid")
-    pairs = pairs.join(sets.select(F.col("cid").alias("centre"), F.col("grams").alias("g2")), "centre")
-    both = F.size(F.array_intersect("g1", "g2"))
-    links = pairs.withColumn("both", both).where(f"100 * both >= {percent} * (n + cn - both)").select("cid", "centre", "rep", "crep")
-    links = durable(links, "links")
-    # Buckets where more than one member is linked with no centre, or one is and others are; of buckets with the same members, one.
-    at = placed.join(links.select("cid", "centre", F.lit(True).alias("ok")), ["cid", "centre"], "left").withColumn("rest", F.expr("ok is null and cid <> centre"))
-    stats = at.groupBy("key").agg(
-        F.count("*").alias("c"), F.count_if("rest").alias("left"), F.sum("n").alias("total"), F.sum(F.when(F.col("rest"), F.col("n"))).alias("unlinked"),
-        F.bit_xor(F.xxhash64("cid")).alias("s1"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("s2"), F.bit_xor(F.xxhash64("cid", "rest")).alias("s3"),
-    )
-    mixed = stats.where("c > 2 and left > 0").groupBy("s1", "s2", "s3", "c", "total", "unlinked").agg(F.min("key").alias("key"))
-    # A block holds a chunk of the unlinked members (rest) and one of all members: who is linked already goes there once for each chunk of unlinked ones.
-    mixed = mixed.select("key", F.ceil(F.col("total") / BLOCK).cast("int").alias("nq"), F.ceil(F.col("unlinked") / BLOCK).cast("int").alias("np"))
-    inside = at.join(mixed, "key").select("key", "cid", "rep", "rest", "np", "nq")
-    chunk = lambda n: F.pmod(F.xxhash64("cid", F.lit(3)), F.col(n)).cast("int")
-    blocks = inside.where("rest").withColumns({"p": chunk("np"), "q": F.explode(F.sequence(F.lit(0), F.col("nq") - 1))}).unionByName(
-        inside.withColumns({"rest": F.lit(False), "q": chunk("nq"), "p": F.explode(F.sequence(F.lit(0), F.col("np") - 1))})
-    )
-    blocks = blocks.select("key", "cid", "rep", "rest", "p", "q").join(sets, "cid")
-    more = grouped(blocks, ["key", "p", "q"], _blocks(percent), "a long, b long")
-    low = components(links.select(F.col("rep").alias("a"), F.col("crep").alias("b")).unionAll(more))
-    release(members, placed, involved, sets, links)
+
+    def sets_of(involved: DataFrame) -> DataFrame:
+        involved = durable(involved.join(classes.select("cid", "d1", "d2"), "cid"), "involved")
+        there = only(docs.withColumnRenamed("doc_id", "rep"), involved.select("rep").distinct(), "rep").withColumnRenamed("rep", "doc_id")
+        # The set that belongs to the class's digest, whatever else goes by the same doc_id.
+        return only(there.transform(in_batches, _sets(k), "rep long, d1 long, d2 long, grams array<long>"), involved, ["rep", "d1", "d2"], "inner", INVOLVED)
+
+    low = components(linking.links(spread, sets_of, lambda both, n, m: 100 * both >= percent * (n + m - both)))
     of = classes.join(low.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "weight", F.coalesce("component", "rep").alias("low"))
     # An empty set's digest is never in classes: its row stands for itself.
     out = labelled(all_.select("doc_id", "n_shingles", "d1", "d2", F.expr("doc_id is not null and n_shingles > 0").alias("known")), of, low=F.col("doc_id"))

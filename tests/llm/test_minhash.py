@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lorekeep.llm import minhash
+from lorekeep.operators import linking
 from lorekeep.operators.graph import components
 
 SCHEMA = "doc_id long, text string"
@@ -67,7 +68,7 @@ def test_hub_and_chain_groups_lose_no_link(spark):
 
 
 def test_blocks_of_bounded_size_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 700)
+    monkeypatch.setattr(linking, "BLOCK", 700)
     test_hub_and_chain_groups_lose_no_link(spark)
 
 
