@@ -31,8 +31,8 @@ from .common import durable, has_columns, in_batches, labelled
 HASHES, TABLES, PROBES = 3, 24, 4
 #: Probability that a pair at the threshold never meets, and the most tables made for it; TABLES are the least.
 MISS, MOST = 2e-5, 256
-#: Vectors in one side of a block.
-BLOCK = 2048
+#: Vectors in one side of a block, and their components.
+BLOCK, COMPONENTS = 4096, 1 << 20
 #: Axes of each hash that a probe may take.
 NEXT = 3
 #: Members of a bucket up to which pairs are formed together with those of other buckets, rows that are looked at together, and pairs compared at once.
@@ -308,6 +308,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         dims[1 << max(2, r["bits"])] += r["count"]
     hashes = {dim: hashes_for(n, dim) for dim, n in dims.items()}
     tables = {dim: tables_for(cosine, dim, hashes[dim]) for dim in dims}
+    block = min(BLOCK, max(256, COMPONENTS // max([1, *dims])))
     schema = f"vec_id long, ok boolean, d1 long, d2 long, keys array<long>, embedding {dict(rows.dtypes)['embedding']}"
     hashed = rows.transform(in_batches, _hash_all({d: (tables[d], hashes[d]) for d in dims}), schema)
     all_ = durable(hashed.withColumn("row", F.monotonically_increasing_id()), "codes")
@@ -321,7 +322,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         F.count("*").alias("c"), F.count_if("own").alias("owns"), F.bit_xor(F.xxhash64("cid", "own")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "cid", "own")).alias("s2")
     )
     # Where buckets have the same members, all their pairs meet first in the smallest key.
-    crowded = members.where("c > 1 and owns > 0").groupBy("s1", "s2", "c", "owns").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+    crowded = members.where("c > 1 and owns > 0").groupBy("s1", "s2", "c", "owns").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / block).cast("int").alias("nb"))
     placed = spread.join(crowded, "key").withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(5)), "nb").cast("int"))
     placed = placed.select("key", "cid", "own", "table", "chunk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     placed = placed.select("key", "cid", "own", "table", "chunk", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"))
