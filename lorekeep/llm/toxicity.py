@@ -3,7 +3,7 @@
 A document is the set of its hashed terms: runs of letters in lower case, and the first four, five and six letters of longer ones. The machine adds a weight for each term and, for
 each pair of its terms, the inner product of two learnt vectors, so that a pair can weigh more, or less, than its
 parts do. It is fitted on the driver from a bounded sample of labelled rows (FIT_ROWS), whose texts are turned into term sets on the executors;
-terms take part if a likelihood-ratio test on that sample finds them telling, so a term's weight never rests on a handful of
+terms take part if a likelihood-ratio test on that sample finds them telling, alone or, for terms that tell nothing alone, as one of a pair, so a term's weight never rests on a handful of
 rows. Scoring reads every text whole, in one pass, with no shuffle.
 """
 
@@ -26,6 +26,8 @@ FIT_ROWS = 8_000
 #: Hashed terms: 2**SPACE.
 SPACE = 26
 TERMS, FACTORS, TELLING, STEPS = 4096, 8, 25.0, 300
+#: Terms that tell nothing alone but are seen in LEAST rows or more are looked at in pairs, the PAIRED most frequent of them; there are many pairs, so more is asked of one.
+PAIRED, LEAST, TELLING_PAIR = 1500, 20, 50.0
 #: Share of its terms that a row shows in each step of the fit, so that no term leans on others that mostly come with it.
 SEEN = 0.5
 #: Decay of the pairs' vectors: ten times the words' own, so that a word that is telling alone gets its weight itself.
@@ -96,6 +98,41 @@ def _logit(r, t, n, bias, weight, factor):
     return bias + _sums(r, weight[t], n) + 0.5 * (total**2 - square).sum(axis=1), total
 
 
+def _ratio(seen, hit, n: float, positive: float) -> np.ndarray:
+    """The likelihood-ratio statistic of what is in ``seen`` rows, ``hit`` of them positive, of ``n`` rows with ``positive`` positive ones."""
+
+    def g(observed, expected):
+        return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0)
+
+    p = positive / n
+    return 2 * (g(hit, seen * p) + g(seen - hit, seen * (1 - p)) + g(positive - hit, (n - seen) * p) + g(n - seen - positive + hit, (n - seen) * (1 - p)))
+
+
+def _in_pairs(row, term, label, share, seen, test) -> np.ndarray:
+    """Terms that aren't telling alone but are part of a telling pair of such terms, TERMS at most."""
+    able = np.flatnonzero((test < TELLING) & (seen >= LEAST))
+    able = np.sort(able[np.argsort(-seen[able], kind="stable")[:PAIRED]])
+    if len(able) < 2:
+        return able[:0]
+    place = np.full(len(seen), -1)
+    place[able] = np.arange(len(able))
+    keep = place[term] >= 0
+    row, at = row[keep], place[term[keep]]
+    both, hit = np.zeros((2, len(able), len(able)))
+    for a in range(0, len(label), 500):
+        of = (row >= a) & (row < a + 500)
+        x = np.zeros((min(500, len(label) - a), len(able)), np.float32)
+        x[row[of] - a, at[of]] = 1
+        y = x * share[a : a + 500, None].astype(np.float32)
+        both += y.T @ x
+        hit += (y * label[a : a + 500, None].astype(np.float32)).T @ x
+    n, positive = share.sum(), float((share * label).sum())
+    telling = (_ratio(both, hit, n, positive) >= TELLING_PAIR) & (both >= LEAST)
+    np.fill_diagonal(telling, False)
+    best = np.where(telling, _ratio(both, hit, n, positive), 0).max(axis=1)
+    return able[np.argsort(-best, kind="stable")[: min(TERMS, int((best > 0).sum()))]]
+
+
 def fit(rows: list[np.ndarray], label: np.ndarray, share: np.ndarray | None = None) -> Machine:
     """``rows``: term sets; ``share``: weight of each row."""
     share = np.ones(len(rows)) if share is None else share
@@ -109,13 +146,10 @@ def fit(rows: list[np.ndarray], label: np.ndarray, share: np.ndarray | None = No
     seen = np.bincount(coded, share[row], len(terms))
     hit = np.bincount(coded, (share * label)[row], len(terms))
 
-    def g(observed, expected):
-        return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0)
-
-    p = positive / n
-    test = 2 * (g(hit, seen * p) + g(seen - hit, seen * (1 - p)) + g(positive - hit, (n - seen) * p) + g(n - seen - positive + hit, (n - seen) * (1 - p)))
+    test = _ratio(seen, hit, n, positive)
     chosen = np.flatnonzero(test >= TELLING)
-    chosen = np.sort(chosen[np.argsort(-test[chosen], kind="stable")[:TERMS]])
+    chosen = chosen[np.argsort(-test[chosen], kind="stable")[:TERMS]]
+    chosen = np.sort(np.concatenate([chosen, _in_pairs(row, coded, label, share, seen, test)]))
     if not len(chosen):
         return empty
     place = np.full(len(terms), -1)

@@ -54,6 +54,18 @@ def test_learns_a_pair_that_single_words_do_not_tell():
     assert ((m.score(row, term, 4) >= 0.5) == label[:4]).all()
 
 
+def test_learns_a_pair_of_balanced_words():
+    """At production settings: each word is as often in toxic texts as in clean ones, and only the pair tells."""
+    texts = ["red here", "blue here", "red blue", "plain words"] * 100
+    label = np.array([0, 0, 1, 1] * 100, float)
+    m = toxicity.fit(sets(texts), label)
+    row, term = toxicity.term_sets(pa.array(texts[:3]))
+    assert ((m.score(row, term, 3) >= 0.5) == label[:3]).all()
+    rng = np.random.default_rng(2)
+    noise = [" ".join(rng.choice([f"w{i}" for i in "abcdefghijklmnop"], 8)) for _ in range(600)]
+    assert len(toxicity.fit(sets(noise), (rng.random(600) < 0.4).astype(float)).terms) == 0
+
+
 def test_terms_are_words_and_beginnings():
     a, b, c = sets(["Running, RUNNING!", "run", None])
     assert len(a) == 4 and len(b) == 1 and len(c) == 0  # running and its first four, five and six letters
