@@ -89,7 +89,8 @@ def admitted(hits: DataFrame, most: str = "internal") -> DataFrame:
 
 def within_caps(hits: DataFrame, hot: int, cold: int) -> DataFrame:
     """The first ``hot`` and ``cold`` admitted hits of each tier, in order."""
-    ranked = hits.where("admitted").withColumn("n", F.row_number().over(Window.partitionBy("tier").orderBy("place")))
+    # The limit of the window holds before its shuffle as well, so a tier of many hits is no large group.
+    ranked = hits.where("admitted").withColumn("n", F.row_number().over(Window.partitionBy("tier").orderBy("place"))).where(F.col("n") <= max(hot, cold, 1))
     return ranked.where(((F.col("tier") == "hot") & (F.col("n") <= hot)) | ((F.col("tier") == "cold") & (F.col("n") <= cold))).drop("n")
 
 
