@@ -118,7 +118,7 @@ def _in_pairs(row, term, label, share, seen, test) -> np.ndarray:
     place[able] = np.arange(len(able))
     keep = place[term] >= 0
     row, at = row[keep], place[term[keep]]
-    both, hit = np.zeros((2, len(able), len(able)))
+    both, hit = np.zeros((2, len(able), len(able)), np.float32)
     for a in range(0, len(label), 500):
         of = (row >= a) & (row < a + 500)
         x = np.zeros((min(500, len(label) - a), len(able)), np.float32)
@@ -127,9 +127,12 @@ def _in_pairs(row, term, label, share, seen, test) -> np.ndarray:
         both += y.T @ x
         hit += (y * label[a : a + 500, None].astype(np.float32)).T @ x
     n, positive = share.sum(), float((share * label).sum())
-    telling = (_ratio(both, hit, n, positive) >= TELLING_PAIR) & (both >= LEAST)
-    np.fill_diagonal(telling, False)
-    best = np.where(telling, _ratio(both, hit, n, positive), 0).max(axis=1)
+    np.fill_diagonal(both, 0)
+    best = np.zeros(len(able))
+    for a in range(0, len(able), 100):  # a few rows of the square at a time
+        seen2, hit2 = both[a : a + 100].astype(np.float64), hit[a : a + 100].astype(np.float64)
+        ratio = _ratio(seen2, hit2, n, positive)
+        best[a : a + 100] = np.where((ratio >= TELLING_PAIR) & (seen2 >= LEAST), ratio, 0).max(axis=1)
     return able[np.argsort(-best, kind="stable")[: min(TERMS, int((best > 0).sum()))]]
 
 
