@@ -486,9 +486,13 @@ def feed_refusals(spark, sf):
 # Streams: the same operators over arriving files; each reads what is there and stops.
 
 
-@query("SELECT kind, work_unit_id, count(*) AS n FROM (SELECT DISTINCT event_type AS kind, 'user ' || CAST(user_id AS VARCHAR) AS work_unit_id, event_id FROM events) GROUP BY ALL")
+_STREAMED = _EVIDENCE.replace("'ev:' || CAST(event_id AS VARCHAR)", "CAST(event_id AS VARCHAR)").replace('"custody_note": "n"', f'"custody_note": "{feed.NOTE}"')
+
+
+@query(_STREAMED + " SELECT DISTINCT kind, wu AS work_unit_id, upper(sha256(document)) AS evidence_sha256 FROM d")
 def stream_feed(spark, sf):
-    return stream_feeds.ingested_once(spark, f"{sf}/events.parquet").groupBy("kind", "work_unit_id").agg(F.count("*").alias("n"))
+    """The hash of each evidence document that a stream of records makes, once each."""
+    return stream_feeds.ingested_once(spark, f"{sf}/events.parquet").select("kind", "work_unit_id", "evidence_sha256")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
