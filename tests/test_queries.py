@@ -46,3 +46,15 @@ def test_all_are_registered(spark, sf):
 def test_pack_query(spark, sf):
     text = catalog.queries()["context_pack"](spark, sf).first()["pack"]
     assert text.startswith("# Context Pack — tables / verification") and "## Cold evidence (3)" in text and "## Included hot artifacts (8)" in text
+
+
+def test_a_number_of_the_header_hides_no_loss(spark, con, tmp_path):
+    """Numbers that stand in the lost half and in the word sha256 are missing."""
+    text = "word " * 40 + "and 256 of 6"
+    spark.createDataFrame([(k, text) for k in range(1, 4)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = catalog.queries()["gate_reports"](spark, str(tmp_path))
+    own = con.cursor()
+    own.execute(f"CREATE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = own.execute(catalog.oracle_sql()["gate_reports"])
+    columns = [d[0] for d in got.description]
+    assert plain([tuple(r) for r in df.collect()], df.columns) == plain(got.fetchall(), columns)
