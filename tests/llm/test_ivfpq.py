@@ -108,3 +108,15 @@ def test_recall_on_clustered_vectors_from_few_lists(spark):
     got = answers(ivfpq.search(df, df.where("vec_id % 100 = 0"), 10).collect())
     hits = sum(len({v for _, v in got[q]} & {v for _, v in brute(x, list(range(6000)), q, 10)}) for q in range(0, 6000, 100))
     assert hits >= 0.9 * 600
+
+
+def test_queries_unlike_the_sample_find_their_nearest(spark):
+    """Rows in tight clusters far from the queries, which the sample hardly holds, and vectors far from the origin: all of the truly nearest are found, in order."""
+    rng = np.random.default_rng(21)
+    x = 3 * rng.normal(size=(20, 32))[rng.integers(0, 20, 2000)] + 0.1 * rng.normal(size=(2000, 32))
+    x[::100] = 3 * rng.normal(size=(20, 32))
+    for moved in (x, 1e8 + x):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(moved)], "vec_id long, embedding array<double>")
+        got = answers(ivfpq.search(df, df.where("vec_id % 100 = 0"), 10).collect())
+        for q in range(0, 2000, 100):
+            assert got[q] == brute(moved, list(range(2000)), q, 10)
