@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,29 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import durable, only, release, shared_dir
+from ..storage import durable, in_batches, only, release, shared_dir
 
 __all__ = ["durable", "grouped", "has_columns", "in_batches", "labelled", "mix", "only", "release", "seed", "shared_dir", "slices", "words"]
-#: Rows that Spark hands to Python at once: texts of some kilobytes make batches of about a megabyte, on both sides of the pipe.
-BATCH_ROWS = 500
-
-
-def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of bounded size; freed memory goes back to the host when a task ends, as idle workers live on."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
-
-    return df.mapInArrow(whole, schema)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer; every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
